@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from aisleframe.functions.groups import rows_in, share_of
 from aisleframe.functions.scalars import quarter_of, unit_price, week_revenue, year_of
-from aisleframe.operators.joins import update_join
+from aisleframe.operators.joins import one_row_per_key, update_join
 
 EXTRAS_KEYS = (
     "year", "quarter", "fips_state_code", "parent_code", "store_code_uc", "group", "extras_group"
@@ -55,19 +55,24 @@ def movement_totals(movement: DataFrame, keys: Sequence[str]) -> DataFrame:
     return total_by(weekly_measures(movement), keys)
 
 
-def attach_stores(df: DataFrame, stores: DataFrame) -> DataFrame:
+def attach_stores(df: DataFrame, stores: DataFrame, unique: bool = False) -> DataFrame:
     """Parent and state of the store in that year."""
-    return update_join(df, stores, ["store_code_uc", "year"], ["parent_code", "fips_state_code"])
+    columns = ["parent_code", "fips_state_code"]
+    return update_join(df, stores, ["store_code_uc", "year"], columns, unique=unique)
 
 
-def attach_versions(df: DataFrame, versions: DataFrame) -> DataFrame:
+def attach_versions(df: DataFrame, versions: DataFrame, unique: bool = False) -> DataFrame:
     """Version of the product in that year."""
-    return update_join(df, versions, ["upc", "year"], ["upc_ver_uc"])
+    return update_join(df, versions, ["upc", "year"], ["upc_ver_uc"], unique=unique)
 
 
-def product_panel(quarterly: DataFrame, stores: DataFrame, versions: DataFrame) -> DataFrame:
-    """Store x upc x quarter with parent, state, product version and unit price."""
-    joined = attach_versions(attach_stores(quarterly, stores), versions)
+def product_panel(quarterly: DataFrame, stores: DataFrame, versions: DataFrame,
+                  unique: bool = False) -> DataFrame:
+    """Store x upc x quarter with parent, state, product version and unit price.
+
+    `unique` states that the dimension tables have one row per key.
+    """
+    joined = attach_versions(attach_stores(quarterly, stores, unique), versions, unique)
     return joined.withColumn("price", unit_price())
 
 
@@ -81,18 +86,17 @@ def attribute_group(attributes: Sequence[str]) -> Column:
     return F.md5(F.to_json(F.struct(*attributes)))
 
 
-def attach_extras_group(df: DataFrame, extras: DataFrame, attributes: Sequence[str]) -> DataFrame:
+def attach_extras_group(df: DataFrame, extras: DataFrame, attributes: Sequence[str],
+                        unique: bool = False) -> DataFrame:
     """Extras group of the product in that year.
 
     The identifier is made on the attribute table, so the join moves one column instead of all
     attributes. Products without attributes fall into the group whose attributes are all missing.
     """
-    grouped = extras.select(
-        "upc", "year", F.struct(*attributes).alias("_attributes")
-    ).groupBy("upc", "year").agg(F.max("_attributes").alias("_attributes")).select(
-        "upc", "year", F.md5(F.to_json("_attributes")).alias("extras_group")
-    )
-    joined = update_join(df, grouped, ["upc", "year"], ["extras_group"], unique=True)
+    keys = ["upc", "year"]
+    once = extras if unique else one_row_per_key(extras, keys, attributes)
+    grouped = once.select(*keys, attribute_group(attributes).alias("extras_group"))
+    joined = update_join(df, grouped, keys, ["extras_group"], unique=True)
     return joined.withColumn("extras_group", F.coalesce("extras_group", F.md5(F.lit("{}"))))
 
 
@@ -104,9 +108,10 @@ def extras_groups(extras: DataFrame, attributes: Sequence[str],
     )
 
 
-def extras_collapse(products: DataFrame, extras: DataFrame, attributes: Sequence[str]) -> DataFrame:
-    """Store x extras group x quarter."""
-    return total_by(attach_extras_group(products, extras, attributes), EXTRAS_KEYS)
+def extras_collapse(products: DataFrame, extras: DataFrame, attributes: Sequence[str],
+                    unique: bool = False) -> DataFrame:
+    """Store x extras group x quarter, from any store x upc x quarter panel with parent and state."""
+    return total_by(attach_extras_group(products, extras, attributes, unique), EXTRAS_KEYS)
 
 
 def store_group_collapse(df: DataFrame) -> DataFrame:

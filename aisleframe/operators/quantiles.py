@@ -1,8 +1,9 @@
-"""Exact quantiles and quantile bins that never gather a whole column in one task.
+"""Exact quantiles and quantile bins that never gather an unbounded column in one task.
 
-Order statistics are found in two passes. A bounded sketch brackets each wanted rank; exact counts
-of the rows below the bracket then place the few rows inside it. The sketch decides only how many
-rows lie inside, never the result.
+Groups of at most SMALL values are solved by one exact aggregate. Beyond that, order statistics are
+found in two passes: a bounded sketch brackets each wanted rank, and exact counts of the rows below
+the bracket place the few rows inside it. The sketch decides only how many rows lie inside, never the
+result.
 """
 
 from __future__ import annotations
@@ -15,20 +16,30 @@ from pyspark.sql import functions as F
 from aisleframe.sources.stages import stage_table
 
 # The sketch's rank error is n / SKETCH_ACCURACY. Brackets of +-BRACKET around each probability then
-# hold the wanted ranks for every n above SMALL; below, the bracket is the whole group.
+# hold the wanted ranks for every n above SMALL; in a smaller group the bracket is the whole group.
 SKETCH_ACCURACY = 100_000
 BRACKET = 1e-4
 SMALL = 100_000
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
-                    name: str = "cuts") -> DataFrame:
-    """One row per group with the array of linearly interpolated quantiles (R's type 7)."""
+                    name: str = "cuts", staged: bool = False) -> DataFrame:
+    """One row per group with the array of linearly interpolated quantiles (R's type 7).
+
+    `staged` states that df is a written table, which may be read twice.
+    """
     probs = list(probs)
-    values = stage_table(
-        df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_x")),
-        "quantile-values",
-    )
+    values = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_x"))
+    if not staged:
+        values = stage_table(values, "quantile-values")
+    largest = values.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if largest <= SMALL:
+        return values.groupBy(*by).agg(F.percentile("_x", F.array(*map(F.lit, probs))).alias(name))
+    return _bracketed(values, probs, by, name)
+
+
+def _bracketed(values: DataFrame, probs: Sequence[float], by: Sequence[str], name: str) -> DataFrame:
+    """Two passes over a written table of values of any size."""
     lows = [max(p - BRACKET, 0.0) for p in probs]
     highs = [min(p + BRACKET, 1.0) for p in probs]
     sketch = values.groupBy(*by).agg(
@@ -93,6 +104,7 @@ def bin_of(col: Column, cuts: Column, n: int) -> Column:
 
 def quantile_bin(df: DataFrame, col: str, n: int = 5, name: str = "bin") -> DataFrame:
     """Cut the column at its n-quantiles."""
-    cuts = exact_quantiles(df, col, [i / n for i in range(n + 1)], name="_cuts")
+    df = stage_table(df, "quantile-bin")
+    cuts = exact_quantiles(df, col, [i / n for i in range(n + 1)], name="_cuts", staged=True)
     binned = df.withColumn("_cuts", cuts.scalar())
     return binned.withColumn(name, bin_of(F.col(col), F.col("_cuts"), n)).drop("_cuts")

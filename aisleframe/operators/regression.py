@@ -21,6 +21,8 @@ from aisleframe.operators.joins import attach
 from aisleframe.operators.specs import DidSpec
 from aisleframe.sources.stages import stage_table
 
+PRODUCTS = ("xx", "xz", "zz", "xy", "zy", "yy")
+
 
 def demean(df: DataFrame, cols: Sequence[str], cell: Sequence[str]) -> DataFrame:
     """Absorb one fixed effect: subtract the cell mean from each column, as `<column>_d`."""
@@ -35,107 +37,100 @@ def fe_did(panel: DataFrame, specs: Sequence[DidSpec], by: Sequence[str] = (),
     """Coefficient of post * x, its clustered error, N and within adjusted R2, one row per
     combination of `by` and specification; NULL where the regression cannot be fitted.
     """
+    by = list(by)
     cells = list(dict.fromkeys(spec.fe for spec in specs))
     keys = list(dict.fromkeys([*by, *[k for fe in cells for k in fe], cluster]))
     narrow = stage_table(
         panel.select(
-            *[F.col(k) for k in keys],
+            *keys,
             F.col(year).alias("_year"),
             F.col(y).cast("double").alias("_y"),
-            *[_treatment(s, [*by, *s.fe, cluster], y).alias(f"x_{s.name}") for s in specs],
+            *[_treatment(s, [*by, *s.fe, cluster], y) for s in specs],
         ),
         "did-panel",
     )
-    fits = [_fit(narrow, [s for s in specs if s.fe == fe], fe, list(by), cluster) for fe in cells]
-    return reduce(DataFrame.unionByName, fits)
+    sums = [_sums(narrow, [s for s in specs if s.fe == fe], fe, by, cluster) for fe in cells]
+    sizes = reduce(DataFrame.unionByName, [size for size, _ in sums])
+    clusters = reduce(DataFrame.unionByName, [cluster_sums for _, cluster_sums in sums])
+    return _estimates(sizes, clusters, by)
 
 
 def _treatment(spec: DidSpec, keys: Sequence[str], y: str) -> Column:
     """x on the rows the regression uses, NULL elsewhere: outside the sample or with a gap."""
-    used = F.expr(f"({spec.sample}) AND `{y}` IS NOT NULL")
-    for k in keys:
-        used = used & F.col(k).isNotNull()
-    return F.when(used, F.expr(f"({spec.x})").cast("double"))
-
-
-def _x(spec: DidSpec) -> Column:
-    return F.col(f"x_{spec.name}")
-
-
-def _z(spec: DidSpec) -> Column:
-    return _x(spec) * (F.col("_year") >= spec.cutoff).cast("int")
+    complete = " AND ".join(f"`{k}` IS NOT NULL" for k in [*keys, y])
+    return F.expr(
+        f"CASE WHEN ({spec.sample}) AND {complete} THEN CAST(({spec.x}) AS DOUBLE) END"
+    ).alias(f"x_{spec.name}")
 
 
 def _stack(df: DataFrame, keys: Sequence[str], specs: Sequence[DidSpec],
            fields: Sequence[str]) -> DataFrame:
     """Columns <field>_<spec> to one row per specification."""
-    rows = F.array(*[
-        F.struct(F.lit(s.name).alias("spec"), *[F.col(f"{f}_{s.name}").alias(f) for f in fields])
+    rows = ", ".join(
+        f"named_struct('spec', '{s.name}', " + ", ".join(f"'{f}', {f}_{s.name}" for f in fields) + ")"
         for s in specs
-    ])
-    return df.select(*keys, F.explode(rows).alias("_s")).select(*keys, "_s.*")
+    )
+    return df.select(*keys, F.expr(f"inline(array({rows}))"))
 
 
-def _fit(narrow: DataFrame, specs: Sequence[DidSpec], fe: Sequence[str], by: list[str],
-         cluster: str) -> DataFrame:
-    run = [*by, "spec"]
+def _sums(narrow: DataFrame, specs: Sequence[DidSpec], fe: Sequence[str], by: list[str],
+          cluster: str) -> tuple[DataFrame, DataFrame]:
+    """Sizes by run, and sums of demeaned products by run and cluster, of the specifications that
+    absorb the same cells.
+    """
     cell = list(dict.fromkeys([*by, *fe]))
+    means, products = [], []
+    for s in specs:
+        x, n = f"x_{s.name}", s.name
+        z = f"{x} * int(_year >= {s.cutoff})"
+        xd, zd = f"({x} - mx_{n})", f"({z} - mz_{n})"
+        yd = f"if({x} IS NULL, NULL, _y - my_{n})"
+        means += [
+            f"count({x}) AS n_{n}", f"avg(if({x} IS NULL, NULL, _y)) AS my_{n}",
+            f"avg({x}) AS mx_{n}", f"avg({z}) AS mz_{n}",
+        ]
+        products += [
+            f"count({x}) AS n_{n}",
+            f"sum({xd} * {xd}) AS xx_{n}", f"sum({xd} * {zd}) AS xz_{n}",
+            f"sum({zd} * {zd}) AS zz_{n}", f"sum({xd} * {yd}) AS xy_{n}",
+            f"sum({zd} * {yd}) AS zy_{n}", f"sum({yd} * {yd}) AS yy_{n}",
+        ]
 
-    cells = stage_table(
-        narrow.groupBy(*cell).agg(*[
-            column
-            for s in specs
-            for column in (
-                F.count(_x(s)).alias(f"n_{s.name}"),
-                F.avg(F.when(_x(s).isNotNull(), F.col("_y"))).alias(f"my_{s.name}"),
-                F.avg(_x(s)).alias(f"mx_{s.name}"),
-                F.avg(_z(s)).alias(f"mz_{s.name}"),
-            )
-        ]),
-        "did-cells",
-    )
+    cells = stage_table(narrow.groupBy(*cell).agg(*map(F.expr, means)), "did-cells")
     sizes = _stack(cells, by, specs, ["n", "mx", "mz"])
     for k in by:
         sizes = sizes.where(F.col(k).isNotNull())
-    sizes = sizes.groupBy(*run).agg(
+    sizes = sizes.groupBy(*by, "spec").agg(
         F.sum("n").alias("n"),
         F.count_if(F.col("n") > 0).alias("cells"),
-        F.sum(F.col("n") * F.col("mx") * F.col("mx")).alias("x_between"),
-        F.sum(F.col("n") * F.col("mz") * F.col("mz")).alias("z_between"),
+        F.expr("sum(n * mx * mx)").alias("x_between"),
+        F.expr("sum(n * mz * mz)").alias("z_between"),
     )
-
-    products = []
-    for s in specs:
-        xd = _x(s) - F.col(f"mx_{s.name}")
-        zd = _z(s) - F.col(f"mz_{s.name}")
-        yd = F.when(_x(s).isNotNull(), F.col("_y") - F.col(f"my_{s.name}"))
-        products += [
-            F.count(_x(s)).alias(f"n_{s.name}"),
-            F.sum(xd * xd).alias(f"xx_{s.name}"), F.sum(xd * zd).alias(f"xz_{s.name}"),
-            F.sum(zd * zd).alias(f"zz_{s.name}"), F.sum(xd * yd).alias(f"xy_{s.name}"),
-            F.sum(zd * yd).alias(f"zy_{s.name}"), F.sum(yd * yd).alias(f"yy_{s.name}"),
-        ]
-    sums = ["xx", "xz", "zz", "xy", "zy", "yy"]
-    wide = narrow.join(cells, cell).groupBy(*by, cluster).agg(*products)
+    wide = narrow.join(cells, cell).groupBy(*by, cluster).agg(*map(F.expr, products))
     clusters = stage_table(
-        _stack(wide, [*by, cluster], specs, ["n", *sums]).where(F.col("n") > 0).drop("n"),
+        _stack(wide, [*by, cluster], specs, ["n", *PRODUCTS]).where("n > 0").drop("n"),
         "did-clusters",
     )
+    return sizes, clusters
 
+
+def _estimates(sizes: DataFrame, clusters: DataFrame, by: list[str]) -> DataFrame:
+    """Coefficients from the summed products, then their clustered errors from cluster scores."""
+    run = [*by, "spec"]
     moments = clusters.groupBy(*run).agg(
-        *[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("g")
+        *[F.sum(c).alias(c) for c in PRODUCTS], F.count(F.lit(1)).alias("g")
     )
     fitted = _coefficients(sizes.join(moments, run, "left"))
     slopes = fitted.where("ok").select(*run, "b1", "b2")
     # Without `by` the table has one row per specification and may be broadcast as it is.
     scored = clusters.join(slopes if by else F.broadcast(slopes), run).select(
         *run,
-        (F.col("xy") - F.col("b1") * F.col("xx") - F.col("b2") * F.col("xz")).alias("s1"),
-        (F.col("zy") - F.col("b1") * F.col("xz") - F.col("b2") * F.col("zz")).alias("s2"),
+        F.expr("xy - b1 * xx - b2 * xz").alias("s1"),
+        F.expr("zy - b1 * xz - b2 * zz").alias("s2"),
     ).groupBy(*run).agg(
-        F.sum(F.col("s1") * F.col("s1")).alias("m11"),
-        F.sum(F.col("s1") * F.col("s2")).alias("m12"),
-        F.sum(F.col("s2") * F.col("s2")).alias("m22"),
+        F.expr("sum(s1 * s1)").alias("m11"),
+        F.expr("sum(s1 * s2)").alias("m12"),
+        F.expr("sum(s2 * s2)").alias("m22"),
     )
     return _results(fitted.join(scored, run, "left"), by)
 

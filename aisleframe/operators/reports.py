@@ -93,6 +93,12 @@ def filtered_means(df: DataFrame, keys: Sequence[str], means: dict[str, tuple[Co
     ])
 
 
+def first_store_rows(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """The row of each group's first store, for tables that count a chain once."""
+    first = F.min_by(F.struct(*cols), "store_code_uc").alias("_first")
+    return df.groupBy(*keys).agg(first).select(*keys, "_first.*")
+
+
 def tag_first_store(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """parent_quarter_tag: 1 on the rows of the group's first store, else 0."""
     tagged = attach(df, keys, {"_first": F.min("store_code_uc")})
@@ -109,9 +115,9 @@ def median_split(panel: DataFrame, base: tuple[int, int],
     """
     at_base = (F.col("year") == base[0]) & (F.col("quarter") == base[1])
     base_rows = panel.where(at_base)
-    chains = base_rows.groupBy("group", "parent_code").agg(
-        F.min_by(F.struct("state_sales_share", "only_in_focal"), "store_code_uc").alias("_first")
-    ).select("group", "_first.*")
+    chains = first_store_rows(
+        base_rows, ["group", "parent_code"], ["state_sales_share", "only_in_focal"]
+    )
     medians = exact_median(
         chains.where(F.col("only_in_focal") == 0), "state_sales_share", ["group"], "median_share"
     )

@@ -2,6 +2,7 @@
 
 line items are weekly movement, suppliers are stores, nations are states, parts are products, part
 types are categories. Model panels take chains as firms, so that they grow with the tables.
+Suppliers and parts are keyed tables, so the dimensions made from them are joined as unique.
 """
 
 from __future__ import annotations
@@ -135,7 +136,7 @@ def store_groups(spark: SparkSession, sf_dir: str,
     totals = movement_totals(
         movement(spark, sf_dir, years=years), ["store_code_uc", "group", "year", "quarter"]
     )
-    return attach_stores(totals, stores(spark, sf_dir))
+    return attach_stores(totals, stores(spark, sf_dir), unique=True)
 
 
 def parents(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
@@ -143,13 +144,13 @@ def parents(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = No
     totals = movement_totals(
         movement(spark, sf_dir, group=False, years=years), ["store_code_uc", "year", "quarter"]
     )
-    return parent_state(attach_stores(totals, stores(spark, sf_dir)))
+    return parent_state(attach_stores(totals, stores(spark, sf_dir), unique=True))
 
 
 def chain_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yearly revenue of each chain in each state."""
     totals = movement_totals(movement(spark, sf_dir, group=False), ["store_code_uc", "year"])
-    return attach_stores(totals, stores(spark, sf_dir)).groupBy(
+    return attach_stores(totals, stores(spark, sf_dir), unique=True).groupBy(
         F.col("parent_code").alias("firm_id"), F.col("fips_state_code").alias("state"), "year"
     ).agg(F.sum("revenue").alias("revenue"))
 
@@ -159,7 +160,7 @@ def firms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain_revenue(spark, sf_dir).groupBy("firm_id").agg(
         (F.sum("revenue") / 1000000).alias("kappa")
     ).select(
-        "firm_id", (4 + F.col("firm_id") % 3).cast("double").alias("epsilon"), "kappa",
+        "firm_id", (4.1 + F.col("firm_id") % 3).alias("epsilon"), "kappa",
         F.lit(1.0).alias("cost"),
     )
 
@@ -171,7 +172,7 @@ def firm_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return chain_revenue(spark, sf_dir).join(rates, ["state", "year"]).select(
         "firm_id", "state", "year", "revenue",
-        (4 + F.col("state") % 3).cast("double").alias("epsilon"),
+        (4.1 + F.col("state") % 3).alias("epsilon"),
         F.lit(1.0).alias("cost"),
         "tax_rate",
     )

@@ -48,11 +48,12 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
 def write_stage(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("group", "year")) -> None:
     """Persist a pipeline step, one folder per category and year.
 
-    Rows are first spread by the folder keys and the store, so that a big category is written by
-    many tasks while a small one does not end up in a file per task.
+    The rebalance hint gathers small folders into few files and splits a category that holds a large
+    part of the rows over many tasks.
     """
-    spread = [c for c in (*partition_by, "store_code_uc") if c in df.columns]
-    df.repartition(*spread).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(
+        path
+    )
 
 
 def read_stage(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

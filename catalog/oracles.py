@@ -158,11 +158,11 @@ CTE |= {
         SELECT parent_code AS firm_id, fips_state_code AS state, year, sum(revenue) AS revenue
         FROM products GROUP BY ALL""",
     "firms": """
-        SELECT firm_id, CAST(4 + firm_id % 3 AS DOUBLE) AS epsilon, sum(revenue) / 1000000 AS kappa,
+        SELECT firm_id, 4.1::DOUBLE + firm_id % 3 AS epsilon, sum(revenue) / 1000000 AS kappa,
                1::DOUBLE AS cost
         FROM chain GROUP BY firm_id""",
     "firm_panel": """
-        SELECT firm_id, state, c.year, revenue, CAST(4 + state % 3 AS DOUBLE) AS epsilon,
+        SELECT firm_id, state, c.year, revenue, 4.1::DOUBLE + state % 3 AS epsilon,
                1::DOUBLE AS cost, t_corp AS tax_rate
         FROM chain c JOIN rates r ON c.state = r.statefips AND c.year = r.year""",
     "calibrated": """

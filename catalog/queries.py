@@ -61,20 +61,18 @@ def movement_quarter(spark, sf_dir):
     return collapse.movement_quarter(m.movement(spark, sf_dir, group=False))
 
 
-def _products(spark, sf_dir, years=None):
-    quarterly = collapse.movement_quarter(m.movement(spark, sf_dir, years=years))
-    return collapse.product_panel(quarterly, m.stores(spark, sf_dir), m.upc_versions(spark, sf_dir))
-
-
 def _extras(spark, sf_dir, years=None):
-    return collapse.extras_collapse(
-        _products(spark, sf_dir, years), m.extras(spark, sf_dir), m.ATTRIBUTES
-    )
+    quarterly = collapse.movement_quarter(m.movement(spark, sf_dir, years=years))
+    placed = collapse.attach_stores(quarterly, m.stores(spark, sf_dir), unique=True)
+    return collapse.extras_collapse(placed, m.extras(spark, sf_dir), m.ATTRIBUTES, unique=True)
 
 
 @query
 def product_panel(spark, sf_dir):
-    return _products(spark, sf_dir)
+    quarterly = collapse.movement_quarter(m.movement(spark, sf_dir))
+    return collapse.product_panel(
+        quarterly, m.stores(spark, sf_dir), m.upc_versions(spark, sf_dir), unique=True
+    )
 
 
 @query
@@ -210,13 +208,11 @@ def one_way_table(spark, sf_dir):
 
 @query
 def two_way_table(spark, sf_dir):
-    panel = _exposure(spark, sf_dir, extra=("in_state_12",))
-    tagged = reports.tag_first_store(
-        stage_table(panel, "exposure"), ["group", "year", "quarter", "parent_code"]
-    )
-    return reports.two_way_table(
-        tagged.where("parent_quarter_tag = 1"), "in_focal", "in_state_12", ["group", "year", "quarter"]
+    chains = reports.first_store_rows(
+        _exposure(spark, sf_dir, extra=("in_state_12",)),
+        ["group", "year", "quarter", "parent_code"], ["in_focal", "in_state_12"],
     )
+    return reports.two_way_table(chains, "in_focal", "in_state_12", ["group", "year", "quarter"])
 
 
 @query
