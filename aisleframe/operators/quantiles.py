@@ -51,8 +51,10 @@ def _bracketed(values: DataFrame, probs: Sequence[float], by: Sequence[str], nam
         F.struct(
             F.lit(i).alias("i"),
             ((F.col("_n") - 1) * F.lit(p)).alias("h"),
-            F.when(F.col("_n") <= SMALL, F.col("_min")).otherwise(F.col("_lows")[i]).alias("lo"),
-            F.when(F.col("_n") <= SMALL, F.col("_max")).otherwise(F.col("_highs")[i]).alias("hi"),
+            F.when((F.col("_n") <= SMALL) | F.lit(lows[i] == 0), F.col("_min"))
+            .otherwise(F.col("_lows")[i]).alias("lo"),
+            F.when((F.col("_n") <= SMALL) | F.lit(highs[i] == 1), F.col("_max"))
+            .otherwise(F.col("_highs")[i]).alias("hi"),
         )
         for i, p in enumerate(probs)
     ]).alias("_b"))

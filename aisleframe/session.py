@@ -19,7 +19,8 @@ SETTINGS = {
 }
 
 
-def local_session(cores: str = "8", app: str = "aisleframe") -> SparkSession:
+def local_session(cores: str = "8", app: str = "aisleframe",
+                  extra: dict[str, str] | None = None) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -28,7 +29,7 @@ def local_session(cores: str = "8", app: str = "aisleframe") -> SparkSession:
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
         .config("spark.driver.memory", "8g")
     )
-    for key, value in SETTINGS.items():
+    for key, value in (SETTINGS | (extra or {})).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
