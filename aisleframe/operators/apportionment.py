@@ -1,6 +1,7 @@
 """Prices, tax bills and profits of multi-state firms under different tax rules.
 
-Windows here are per firm and year: one row per state. Totals over a whole year go through `attach`.
+Windows here are per firm and year: one row per state. Totals over a whole year, whose rows have no
+such bound, are aggregated and joined back.
 """
 
 from __future__ import annotations

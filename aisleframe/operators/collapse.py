@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from aisleframe.functions.groups import rows_in, share_of
 from aisleframe.functions.scalars import quarter_of, unit_price, week_revenue, year_of
 from aisleframe.operators.joins import one_row_per_key, update_join
+from aisleframe.sources.stages import stage_table
 
 EXTRAS_KEYS = (
     "year", "quarter", "fips_state_code", "parent_code", "store_code_uc", "group", "extras_group"
@@ -137,7 +138,9 @@ def frequent_groups(df: DataFrame, min_rows: int,
                     keys: Sequence[str] = ("group", "extras_group")) -> DataFrame:
     """Keep the rows of groups with more than min_rows rows.
 
-    Counted by aggregate and joined back; the kept groups number at most rows / min_rows.
+    Counted by aggregate; the kept groups, at most rows / min_rows of them, are written and joined
+    back, so the rows themselves need not be shuffled. df is read twice.
     """
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min_rows)
-    return df.join(large.select(*keys), list(keys), "left_semi")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = stage_table(counts.where(F.col("_n") > min_rows).select(*keys), "frequent-groups")
+    return df.join(large, list(keys), "left_semi")

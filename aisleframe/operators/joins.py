@@ -1,8 +1,9 @@
 """Joins of the panel.
 
-No join carries a broadcast hint unless its small side has one row per calendar period or per
-regression. The optimizer broadcasts a dimension while its size is below
-`spark.sql.autoBroadcastJoinThreshold` and otherwise sorts and merges, splitting hot keys.
+No join carries a broadcast hint, except on totals with one row per calendar year. The optimizer
+broadcasts a side while its size is below `spark.sql.autoBroadcastJoinThreshold` and otherwise sorts
+and merges, splitting hot keys. Small tables derived from big ones are written first, because an
+aggregate's size is not known before it has run.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aisleframe.sources.stages import stage_table
+
 
 def _same_keys(left: DataFrame, right: DataFrame, on: Sequence[str], prefix: str) -> Column:
     return reduce(
@@ -63,19 +66,19 @@ def update_join(x: DataFrame, y: DataFrame, on: Sequence[str],
     return joined.select(*kept, *added)
 
 
-def attach(df: DataFrame, keys: Sequence[str], aggregates: Mapping[str, Column],
-           few_groups: bool = False) -> DataFrame:
+def attach(df: DataFrame, keys: Sequence[str], aggregates: Mapping[str, Column]) -> DataFrame:
     """Add group aggregates to every row by aggregate and join, not by a window.
 
     Partial aggregation shrinks each group before the shuffle, so a group that holds a third of all
-    rows never meets in one task. `few_groups` states that the keys are calendar periods, whose
-    number is fixed whatever the data size, and broadcasts their totals.
+    rows never meets in one task. The totals are written first: with their size known they are
+    broadcast when small, and the rows of df, which is read twice, are not shuffled at all.
     """
-    totals = df.groupBy(*keys).agg(*[c.alias(f"_v_{name}") for name, c in aggregates.items()])
-    totals = totals.withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    joined = df.join(
-        F.broadcast(totals) if few_groups else totals, _same_keys(df, totals, keys, "_k_"), "left"
+    totals = stage_table(
+        df.groupBy(*keys).agg(*[c.alias(f"_v_{name}") for name, c in aggregates.items()])
+        .withColumnsRenamed({k: f"_k_{k}" for k in keys}),
+        "totals",
     )
+    joined = df.join(totals, _same_keys(df, totals, keys, "_k_"), "left")
     return joined.select(*df.columns, *[F.col(f"_v_{name}").alias(name) for name in aggregates])
 
 

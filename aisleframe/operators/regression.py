@@ -6,6 +6,8 @@ cell contains the quarter, so it is absorbed too and the reported coefficient is
 All specifications that absorb the same cells run in one pass: their sums are conditional aggregates
 over the same rows, so the panel is neither copied per specification nor scanned once for each. Two
 passes over a narrow staged panel are needed: cell means, then cluster sums of demeaned products.
+Cell means and coefficients are written before they are joined; known to be small they are broadcast
+and the panel stays where it is, and when they are not, the merge join splits hot cells.
 """
 
 from __future__ import annotations
@@ -120,10 +122,9 @@ def _estimates(sizes: DataFrame, clusters: DataFrame, by: list[str]) -> DataFram
     moments = clusters.groupBy(*run).agg(
         *[F.sum(c).alias(c) for c in PRODUCTS], F.count(F.lit(1)).alias("g")
     )
-    fitted = _coefficients(sizes.join(moments, run, "left"))
+    fitted = stage_table(_coefficients(sizes.join(moments, run, "left")), "did-fit")
     slopes = fitted.where("ok").select(*run, "b1", "b2")
-    # Without `by` the table has one row per specification and may be broadcast as it is.
-    scored = clusters.join(slopes if by else F.broadcast(slopes), run).select(
+    scored = clusters.join(slopes, run).select(
         *run,
         F.expr("xy - b1 * xx - b2 * xz").alias("s1"),
         F.expr("zy - b1 * xz - b2 * zz").alias("s2"),

@@ -16,7 +16,7 @@ from aisleframe.operators import collapse, exposure, pricing, regression, reshap
 from aisleframe.operators.joins import update_join
 from aisleframe.plans.study import Study
 from aisleframe.sources import readers, schemas
-from aisleframe.sources.stages import read_stage, write_results, write_stage
+from aisleframe.sources.stages import read_stage, stage_table, write_results, write_stage
 
 QUARTERLY = "store_code_uc long, upc long, quarter int, revenue double, quantity double, " \
     "group string, year int"
@@ -112,7 +112,7 @@ class ScannerPlan:
         """By category, by bin, pooled, and by category at product level."""
         s = self.study
         kw = {"focal": s.focal, "presence": s.presence}
-        panel = self.panel(rates)
+        panel = stage_table(self.panel(rates), "panel")
         by_category = specs.category_specs(s.cutoff, **kw)
         names = [spec.name for spec in by_category]
 

@@ -156,10 +156,12 @@ def exposure_flags(spark, sf_dir):
 
 
 def _exposure(spark, sf_dir, extra=(), items=False):
-    """Panel of the study window; the staged panel serves the parents as well."""
+    """Panel of the study window; the staged panel serves the parents as well, which are written so
+    that their size is known when they are joined back."""
     collapsed = _extras if items else m.store_groups
     panel = stage_table(collapsed(spark, sf_dir, m.WINDOW), "panel")
-    flags = exposure.exposure_flags(collapse.parent_state(panel), m.FOCAL, m.OTHER_STATES)
+    parents = stage_table(collapse.parent_state(panel), "parents")
+    flags = exposure.exposure_flags(parents, m.FOCAL, m.OTHER_STATES)
     zero = taxes.zero_tax_states(m.statutory_rates(spark, sf_dir), m.CUTOFF)
     series = ("store_code_uc", "group", "extras_group") if items else ("store_code_uc", "group")
     return exposure.exposure_panel(
