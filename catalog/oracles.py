@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from catalog.digits import digits_of
+from catalog.digits import EDGE, digits_of
 from catalog.doubles import DOUBLES
 
 FOCAL, CUTOFF = 6, 1998
@@ -654,13 +654,9 @@ def oracle(name: str, doubles: Sequence[str] | None = None) -> str:
     head = f"WITH {ctes},\n" if ctes else "WITH "
     columns = DOUBLES[name] if doubles is None else doubles
     rounded = ", ".join(
-        f"CASE WHEN round({_q(c)}, {digits_of(c)}) = 0 THEN 0::DOUBLE "
-        f"ELSE round({_q(c)}, {digits_of(c)}) END AS {_q(c)}"
+        f'floor("{c}" * 1e{digits_of(c)} + {EDGE}::DOUBLE) / 1e{digits_of(c)} AS "{c}"'
         for c in columns
     )
     final = f"SELECT * REPLACE ({rounded}) FROM answer" if rounded else "SELECT * FROM answer"
     return f"{head}answer AS ({body})\n{final}"
 
-
-def _q(column: str) -> str:
-    return f'"{column}"'

@@ -15,7 +15,7 @@ from aisleframe.operators import (
 )
 from aisleframe.sources import mapping as m
 from aisleframe.sources.stages import stage_table
-from catalog.digits import digits_of
+from catalog.digits import EDGE, digits_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,13 +25,17 @@ SCENARIOS = ((0, 5), (1, 1), (2, 2), (3, 3), (4, 5), (5, 10), (6, 50))
 FLOW_RATES = {"iceberg_trade_cost": 0.05, "non_iceberg_trade_cost": 0.01}
 
 
+def _rounded(column: str):
+    scale = 10.0 ** digits_of(column)
+    return (F.floor(F.col(column) * scale + EDGE) / scale).alias(column)
+
+
 def query(f: Query) -> Query:
     """Register under the function's name; doubles are rounded for comparison."""
     def rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = f(spark, sf_dir)
         return df.select([
-            F.round(c.name, digits_of(c.name)).alias(c.name)
-            if isinstance(c.dataType, T.DoubleType) else F.col(c.name)
+            _rounded(c.name) if isinstance(c.dataType, T.DoubleType) else F.col(c.name)
             for c in df.schema.fields
         ])
 

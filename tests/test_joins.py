@@ -70,3 +70,9 @@ def test_reshape(spark, rows):
     assert rows(union, "k", "a_price") == [(1, 0.0), (1, 1.0), (2, 3.0)]
     updated = reshape.conditional_update(df, F.col("k") == 2, {"a_price": F.lit(9.0), "c": F.lit(1)})
     assert rows(updated, "k", "a_price", "c") == [(1, 1.0, None), (2, 9.0, 1)]
+
+
+def test_as_doubles(spark):
+    df = spark.createDataFrame([("0501", 3, "2.5")], "group string, n int, b string")
+    out = reshape.as_doubles(df, ["group"])
+    assert tuple(out.first()) == ("0501", 3.0, 2.5)

@@ -11,10 +11,12 @@ import time
 from pathlib import Path
 
 import duckdb
+from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from aisleframe.session import local_session  # noqa: E402
+from catalog.doubles import DOUBLES  # noqa: E402
 from catalog.oracles import oracle  # noqa: E402
 from catalog.queries import QUERIES  # noqa: E402
 
@@ -46,10 +48,12 @@ def compare(spark, con, name, sf_dir):
     doubles = [f.name for f in df.schema.fields if f.dataType.simpleString() == "double"]
     start = time.time()
     rel = con.sql(oracle(name, doubles))
+    problems = []
+    if sorted(DOUBLES.get(name, ())) != sorted(doubles):
+        problems.append(f"catalog/doubles.py should list {doubles}")
     types = dict(zip(rel.columns, [str(t) for t in rel.types], strict=True))
     want = rel.fetchall()
     duck_time = time.time() - start
-    problems = []
     mine = {f.name: KINDS[f.dataType.simpleString()] for f in df.schema.fields}
     if mine != types:
         problems.append(f"schema {sorted(set(mine.items()) ^ set(types.items()))}")
@@ -67,9 +71,15 @@ def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
     parser.add_argument("--columns", action="store_true")
+    parser.add_argument("--plain", action="store_true", help="session without any settings")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
-    spark = local_session()
+    if args.plain:
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config(
+            "spark.sql.session.timeZone", "America/New_York"
+        ).getOrCreate()
+    else:
+        spark = local_session()
     con = duck(args.sf)
     failed = 0
     table = {}
