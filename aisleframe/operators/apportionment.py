@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aisleframe.functions.groups import value_at
 from aisleframe.functions.scalars import demand, markup_price, safe_div
+from aisleframe.operators.reshape import relabel_union
 
 FIRM_YEAR = ("firm_id", "year")
 REGIMES = ("perceived_sales_tax", "naive", "optimal")
@@ -124,6 +126,22 @@ def distortion_table(solved: DataFrame, levels: Sequence[str], special: dict[int
     return out.withColumn("year_order", F.nullif(position, F.lit(0)))
 
 
+def sweep_distortion(solved: DataFrame, state: int = 1, rate: str = "FA_tax_rate") -> DataFrame:
+    """Price distortions along a rate sweep: the rate of the given state on every row, and a copy of
+    that state's rows as separate accounting, which distorts nothing.
+    """
+    own = F.col("state") == state
+    out = solved.select(
+        "firm_id", "state", "year",
+        F.concat(F.lit("Country "), F.col("state").cast("string")).alias("state_descr"),
+        (F.col("optimal_price") - 1).alias("price_to_plot"),
+        value_at(own, rate, FIRM_YEAR).alias("swept_rate"),
+    )
+    return relabel_union(out, own, {
+        "state_descr": F.lit("Separate Accounting"), "price_to_plot": F.lit(0.0),
+    })
+
+
 def separate_accounting(solved: DataFrame, year: int = 0, state: int = 1) -> DataFrame:
     """Replace the comparison year by separate accounting: one state, price one."""
     kept = solved.where((F.col("year") != year) | (F.col("state") == state))

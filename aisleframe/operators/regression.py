@@ -54,7 +54,14 @@ def fe_did(panel: DataFrame, specs: Sequence[DidSpec], by: Sequence[str] = (),
     sums = [_sums(narrow, [s for s in specs if s.fe == fe], fe, by, cluster) for fe in cells]
     sizes = reduce(DataFrame.unionByName, [size for size, _ in sums])
     clusters = reduce(DataFrame.unionByName, [cluster_sums for _, cluster_sums in sums])
-    return _estimates(sizes, clusters, by)
+    return _estimates(_runs(narrow, specs, by), sizes, clusters, by)
+
+
+def _runs(narrow: DataFrame, specs: Sequence[DidSpec], by: list[str]) -> DataFrame:
+    """Every combination of `by` and specification, also those without a usable row."""
+    names = F.explode(F.array(*[F.lit(s.name) for s in specs])).alias("spec")
+    runs = narrow.select(*by).distinct().dropna() if by else narrow.sparkSession.range(1)
+    return runs.select(*by, names)
 
 
 def _treatment(spec: DidSpec, keys: Sequence[str], y: str) -> Column:
@@ -98,17 +105,15 @@ def _sums(narrow: DataFrame, specs: Sequence[DidSpec], fe: Sequence[str], by: li
             f"sum({zd} * {yd}) AS zy_{n}", f"sum({yd} * {yd}) AS yy_{n}",
         ]
 
-    cells = stage_table(narrow.groupBy(*cell).agg(*map(F.expr, means)), "did-cells")
-    sizes = _stack(cells, by, specs, ["n", "mx", "mz"])
-    for k in by:
-        sizes = sizes.where(F.col(k).isNotNull())
-    sizes = sizes.groupBy(*by, "spec").agg(
+    used = narrow.where(" OR ".join(f"x_{s.name} IS NOT NULL" for s in specs))
+    cells = stage_table(used.groupBy(*cell).agg(*map(F.expr, means)), "did-cells")
+    sizes = _stack(cells, by, specs, ["n", "mx", "mz"]).where("n > 0").groupBy(*by, "spec").agg(
         F.sum("n").alias("n"),
-        F.count_if(F.col("n") > 0).alias("cells"),
+        F.count(F.lit(1)).alias("cells"),
         F.expr("sum(n * mx * mx)").alias("x_between"),
         F.expr("sum(n * mz * mz)").alias("z_between"),
     )
-    wide = narrow.join(cells, cell).groupBy(*by, cluster).agg(*map(F.expr, products))
+    wide = used.join(cells, cell).groupBy(*by, cluster).agg(*map(F.expr, products))
     clusters = stage_table(
         _stack(wide, [*by, cluster], specs, ["n", *PRODUCTS]).where("n > 0").drop("n"),
         "did-clusters",
@@ -116,13 +121,15 @@ def _sums(narrow: DataFrame, specs: Sequence[DidSpec], fe: Sequence[str], by: li
     return sizes, clusters
 
 
-def _estimates(sizes: DataFrame, clusters: DataFrame, by: list[str]) -> DataFrame:
+def _estimates(runs: DataFrame, sizes: DataFrame, clusters: DataFrame, by: list[str]) -> DataFrame:
     """Coefficients from the summed products, then their clustered errors from cluster scores."""
     run = [*by, "spec"]
     moments = clusters.groupBy(*run).agg(
         *[F.sum(c).alias(c) for c in PRODUCTS], F.count(F.lit(1)).alias("g")
     )
-    fitted = stage_table(_coefficients(sizes.join(moments, run, "left")), "did-fit")
+    fitted = stage_table(
+        _coefficients(runs.join(sizes, run, "left").join(moments, run, "left")), "did-fit"
+    )
     slopes = fitted.where("ok").select(*run, "b1", "b2")
     scored = clusters.join(slopes, run).select(
         *run,

@@ -107,7 +107,10 @@ DOUBLES: dict[str, tuple[str, ...]] = {
     ),
     "distortion_table": ("price_to_plot",),
     "separate_accounting": ("optimal_price",),
-    "relabel_union": ("price_to_plot",),
+    "relabel_union": ("price_to_plot", "swept_rate"),
+    "sweep_distortion": ("price_to_plot", "swept_rate"),
+    "implied_price": ("implied_price",),
+    "stage_round_trip": ("revenue", "quantity"),
     "apportioned_profit": (
         "apportioned_rate", "naive_rate", "total_cost", "total_output", "pre_tax_profit",
         "after_tax_profit", "after_tax_profit_naive",

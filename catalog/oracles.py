@@ -581,10 +581,24 @@ SQL: dict[str, str] = {
                  AS optimal_price
         FROM solved WHERE year <> 1995 OR state = 6""",
     "relabel_union": """
-        SELECT firm_id, state, year, 'Country ' || state AS state_descr,
-               optimal_price - 1 AS price_to_plot FROM solved
+        WITH prices AS (
+            SELECT firm_id, state, year, optimal_price - 1 AS price_to_plot,
+                   max(tax_rate) FILTER (state = 6) OVER (PARTITION BY firm_id, year) AS swept_rate
+            FROM solved)
+        SELECT *, 'Country ' || state AS state_descr FROM prices
         UNION ALL
-        SELECT firm_id, state, year, 'Separate Accounting', 0 FROM solved WHERE state = 6""",
+        SELECT * REPLACE (0 AS price_to_plot), 'Separate Accounting' FROM prices WHERE state = 6""",
+    "sweep_distortion": """
+        WITH prices AS (
+            SELECT a.firm_id, a.state, a.year,
+                   a.epsilon / (a.epsilon - 1) * a.cost * (1 + a.FA_tax_rate / a.epsilon) - 1
+                     AS price_to_plot, b.FA_tax_rate AS swept_rate
+            FROM sweep a JOIN sweep b USING (firm_id, year) WHERE b.state = 1)
+        SELECT *, 'Country ' || state AS state_descr FROM prices
+        UNION ALL
+        SELECT * REPLACE (0 AS price_to_plot), 'Separate Accounting' FROM prices WHERE state = 1""",
+    "implied_price": "SELECT firm_id, state, year, optimal_price AS implied_price FROM solved",
+    "stage_round_trip": "SELECT * FROM sg",
     "apportioned_profit": """
         SELECT firm_id, year, sum(rate) AS apportioned_rate, avg(FA_tax_rate) AS naive_rate,
                sum(factor_cost) AS total_cost, sum(output) AS total_output,

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aisleframe.functions.scalars import demand, markup_price, year_quarter
+from aisleframe.functions.scalars import demand, inverse_demand, markup_price, year_quarter
 from aisleframe.operators import (
     apportionment, collapse, exposure, joins, pricing, regression, reports, reshape, scenarios, specs,
     taxes,
 )
 from aisleframe.sources import mapping as m
-from aisleframe.sources.stages import stage_table
+from aisleframe.sources.stages import read_stage, shared_dir, stage_table, write_stage
 from catalog.digits import EDGE, digits_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +95,16 @@ def store_group_collapse(spark, sf_dir):
     return m.store_groups(spark, sf_dir)
 
 
+@query
+def stage_round_trip(spark, sf_dir):
+    """The category panel written by category and year and read back."""
+    path = f"{shared_dir(spark)}/aisleframe/{spark.sparkContext.applicationId}/store-groups-" \
+        f"{uuid.uuid4().hex}"
+    panel = m.store_groups(spark, sf_dir)
+    write_stage(panel, path)
+    return read_stage(spark, path, panel.schema)
+
+
 @query
 def parent_state(spark, sf_dir):
     return m.parents(spark, sf_dir)
@@ -496,14 +507,28 @@ def separate_accounting(spark, sf_dir):
 
 @query
 def relabel_union(spark, sf_dir):
-    prices = m.solved_panel(spark, sf_dir).select(
+    """Firms' prices, with a copy of the focal state's rows under another name."""
+    return apportionment.sweep_distortion(m.solved_panel(spark, sf_dir), m.FOCAL, "tax_rate")
+
+
+def _priced_sweep(spark, sf_dir):
+    return scenarios.rate_sweep(m.firms(spark, sf_dir)).withColumn(
+        "optimal_price", markup_price() * (1 + F.col("FA_tax_rate") / F.col("epsilon"))
+    )
+
+
+@query
+def sweep_distortion(spark, sf_dir):
+    return apportionment.sweep_distortion(_priced_sweep(spark, sf_dir))
+
+
+@query
+def implied_price(spark, sf_dir):
+    """Prices read off the demand curve at the solved quantities."""
+    return m.solved_panel(spark, sf_dir).select(
         "firm_id", "state", "year",
-        F.concat(F.lit("Country "), F.col("state").cast("string")).alias("state_descr"),
-        (F.col("optimal_price") - 1).alias("price_to_plot"),
+        inverse_demand("optimal_quantity_consumed").alias("implied_price"),
     )
-    return reshape.relabel_union(prices, F.col("state") == m.FOCAL, {
-        "state_descr": F.lit("Separate Accounting"), "price_to_plot": F.lit(0.0),
-    })
 
 
 @query
@@ -530,10 +555,8 @@ def trade_margins(spark, sf_dir):
 
 @query
 def state_ratios(spark, sf_dir):
-    sweep = scenarios.rate_sweep(m.firms(spark, sf_dir))
-    priced = sweep.withColumn(
-        "price", markup_price() * (1 + F.col("FA_tax_rate") / F.col("epsilon"))
-    ).withColumn("quantity", demand("price")).withColumns({
+    priced = _priced_sweep(spark, sf_dir).withColumnRenamed("optimal_price", "price")
+    priced = priced.withColumn("quantity", demand("price")).withColumns({
         "labour": F.col("quantity") * (1 - F.col("FA_tax_rate")),
         "wage": F.pow(F.col("quantity"), F.lit(0.25)),
     })
