@@ -10,7 +10,7 @@ from pyspark.sql import Window
 
 from aisleframe.functions.groups import flag_any, is_first, mean_where, value_at
 from aisleframe.functions.scalars import safe_ln, unit_price, year_quarter
-from aisleframe.operators.joins import update_join
+from aisleframe.operators.joins import attach, update_join
 
 CHAIN = ("year", "quarter", "parent_code")
 EXPOSURE_COLUMNS = ("state_sales_share", "presence_count", "in_focal", "only_in_focal", "focal_share")
@@ -52,15 +52,22 @@ def exposure_panel(panel: DataFrame, flags: DataFrame, zero_tax: DataFrame, base
                    extra: Sequence[str] = ()) -> DataFrame:
     """Panel with exposure, zero-tax flag, price change and mean exposure before the cutoff.
 
-    The joins come first, so that both windows, whose groups are one series of quarters each, run
-    after a single exchange on the series keys.
+    `keys` name one series of quarters, so the windows, which come after the joins and share one
+    exchange, see a few dozen rows per group. `share_keys` may be coarser, with no bound on their
+    rows; then the mean is aggregated and joined back, and panel, which should be a written table,
+    is read twice.
     """
     columns = {c: c for c in (*EXPOSURE_COLUMNS, *extra)} | {"gross_revenue": "revenue"}
     joined = update_join(
         panel, flags, ["year", "quarter", "parent_code", "fips_state_code"], columns, unique=True
     )
     joined = update_join(joined, zero_tax, ["fips_state_code"], ["zerotax"], unique=True)
-    changed = baseline_log_change(joined, base, keys)
-    return changed.withColumn(
-        "focal_share_pre", mean_where(F.col("year") < cutoff, "focal_share", share_keys or keys)
+    before = F.col("year") < cutoff
+    if share_keys is None or tuple(share_keys) == tuple(keys):
+        return baseline_log_change(joined, base, keys).withColumn(
+            "focal_share_pre", mean_where(before, "focal_share", keys)
+        )
+    joined = attach(
+        joined, share_keys, {"focal_share_pre": F.avg(F.when(before, F.col("focal_share")))}
     )
+    return baseline_log_change(joined, base, keys)

@@ -101,7 +101,9 @@ class ScannerPlan:
     def frequent_items(self, rates: DataFrame, category: str, min_rows: int) -> DataFrame:
         """Product panel of one category, only products with more than min_rows rows in all years."""
         rows = self.extras().where(F.col("group") == category)
-        kept = self.windowed(collapse.frequent_groups(rows, min_rows))
+        kept = stage_table(
+            self.windowed(collapse.frequent_groups(rows, min_rows)), "frequent-items"
+        )
         return exposure.exposure_panel(
             kept, self.flags(), taxes.zero_tax_states(rates, self.study.zero_tax_year),
             self.study.base, self.study.cutoff,

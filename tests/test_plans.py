@@ -45,7 +45,7 @@ def files(tmp_path_factory):
             stores.append(f"{s}\t{year}\t{1 if s <= 4 else 2 if s <= 8 else s}\t{state}\tx")
         (folder / f"stores_{year}.tsv").write_text("\n".join(stores) + "\n")
         versions = ["upc\tupc_ver_uc\tpanel_year"] + [f"{u}\t1\t{year}" for u in (1, 2, 3)]
-        (folder / f"rms_versions_{year}.tsv").write_text("\n".join(versions) + "\n")
+        (folder / f"versions_{year}.tsv").write_text("\n".join(versions) + "\n")
     rates = ["statefips,year,t_x,t_corp,wgt_sales"] + [
         f"{s},{y},{s},{0 if s == 48 else 5},50" for s in (6, 12, 48) for y in YEARS
     ]
@@ -65,7 +65,7 @@ def plan(spark, files):
     out.run(
         str(root / "movement"),
         readers.read_stores(spark, f"{root}/annual/stores_*.tsv"),
-        readers.read_upc_versions(spark, f"{root}/annual/rms_versions_*.tsv"),
+        readers.read_upc_versions(spark, f"{root}/annual/versions_*.tsv"),
         readers.read_extras(spark, str(root / "extras")),
         readers.read_tax_rates(spark, str(root / "rates.csv")),
         ["flavor_code", "size_code"],
