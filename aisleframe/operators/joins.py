@@ -66,6 +66,13 @@ def update_join(x: DataFrame, y: DataFrame, on: Sequence[str],
     return joined.select(*kept, *added)
 
 
+def join_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the columns of a table with one row per group; missing keys match missing keys."""
+    right = groups.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    joined = df.join(right, _same_keys(df, right, keys, "_k_"), "left")
+    return joined.drop(*[f"_k_{k}" for k in keys])
+
+
 def attach(df: DataFrame, keys: Sequence[str], aggregates: Mapping[str, Column]) -> DataFrame:
     """Add group aggregates to every row by aggregate and join, not by a window.
 
@@ -73,13 +80,8 @@ def attach(df: DataFrame, keys: Sequence[str], aggregates: Mapping[str, Column])
     rows never meets in one task. The totals are written first: with their size known they are
     broadcast when small, and the rows of df, which is read twice, are not shuffled at all.
     """
-    totals = stage_table(
-        df.groupBy(*keys).agg(*[c.alias(f"_v_{name}") for name, c in aggregates.items()])
-        .withColumnsRenamed({k: f"_k_{k}" for k in keys}),
-        "totals",
-    )
-    joined = df.join(totals, _same_keys(df, totals, keys, "_k_"), "left")
-    return joined.select(*df.columns, *[F.col(f"_v_{name}").alias(name) for name in aggregates])
+    totals = df.groupBy(*keys).agg(*[c.alias(name) for name, c in aggregates.items()])
+    return join_groups(df, stage_table(totals, "totals"), keys)
 
 
 def merge(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:

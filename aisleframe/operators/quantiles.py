@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aisleframe.operators.joins import join_groups
 from aisleframe.sources.stages import stage_table
 
 # The sketch's rank error is n / SKETCH_ACCURACY. Brackets of +-BRACKET around each probability then
@@ -88,7 +89,7 @@ def _bracketed(values: DataFrame, probs: Sequence[float], by: Sequence[str], nam
 def _with_brackets(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
     """Add the one per-group row; without groups it is a scalar subquery."""
     if by:
-        return df.join(per_group, list(by))
+        return join_groups(df, per_group, by)
     column = per_group.columns[0]
     return df.withColumn(column, per_group.scalar())
 

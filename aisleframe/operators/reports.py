@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from aisleframe.functions.groups import rows_in
 from aisleframe.functions.scalars import safe_div
-from aisleframe.operators.joins import attach
+from aisleframe.operators.joins import attach, join_groups
 from aisleframe.operators.quantiles import exact_median
 
 
@@ -125,7 +125,7 @@ def median_split(panel: DataFrame, base: tuple[int, int],
     with_share = panel.withColumn(
         "share_base", F.max(F.when(at_base, F.col("state_sales_share"))).over(series)
     )
-    return with_share.join(medians, "group", "left").withColumn(
+    return join_groups(with_share, medians, ["group"]).withColumn(
         "above_median", (F.col("share_base") >= F.col("median_share")).cast("int")
     )
 
