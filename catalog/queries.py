@@ -23,7 +23,6 @@ QUERIES: dict[str, Query] = {}
 
 EGGS = "ECONOMY"
 SCENARIOS = ((0, 5), (1, 1), (2, 2), (3, 3), (4, 5), (5, 10), (6, 50))
-FLOW_RATES = {"iceberg_trade_cost": 0.05, "non_iceberg_trade_cost": 0.01}
 
 
 def _rounded(column: str):
@@ -539,18 +538,13 @@ def apportioned_profit(spark, sf_dir):
 @query
 def apportioned_profit_trade(spark, sf_dir):
     return apportionment.apportioned_profit(
-        m.factor_panel(spark, sf_dir), m.trade_flows(spark, sf_dir, **_flow_costs())
+        m.factor_panel(spark, sf_dir), m.trade_flows(spark, sf_dir)
     )
 
 
-def _flow_costs():
-    return {"iceberg": FLOW_RATES["iceberg_trade_cost"],
-            "non_iceberg": FLOW_RATES["non_iceberg_trade_cost"]}
-
-
 @query
 def trade_margins(spark, sf_dir):
-    return apportionment.trade_margins(m.trade_flows(spark, sf_dir, **_flow_costs()))
+    return apportionment.trade_margins(m.trade_flows(spark, sf_dir))
 
 
 @query
