@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from aisleframe.llm import archive
 from aisleframe.llm.jaccard import similar_sets
+from aisleframe.llm.packing import pack
+from aisleframe.llm.pages import extract
 from aisleframe.llm.quality import quality
 from aisleframe.llm.suffixes import remove_repeated_bytes
 from aisleframe.llm.windows import remove_repeated_windows
@@ -27,11 +29,25 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"))
 
 
+def op4_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_bytes(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(pack(_table(spark, sf_dir, "documents")))
+
+
+def digests(pieces: DataFrame) -> DataFrame:
+    """Pieces with the checksum of their ids instead of the ids."""
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
 def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_windows(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -44,4 +60,5 @@ def op10_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_grouped_prefix_join, op3_line_frequency, op5_suffix_arrays, op9_repeated_windows, op10_archive)}
+    op2_grouped_prefix_join, op3_line_frequency, op4_minimum_cut, op5_suffix_arrays,
+    op6_lexical_packing, op9_repeated_windows, op10_archive)}
