@@ -194,13 +194,15 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = keyed.groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("g"))
     members = stage_table(keyed.join(heads, ["n", "p1", "p2"]).select("g", "n", "doc_id", "shared"), "members")
     tops = members.groupBy("g", "n").agg(F.max("shared").alias("shared"))
-    posts = stage_table(tops.join(sets.select(F.col("doc_id").alias("g"), F.explode("prefix").alias("token")), "g"),
+    posts = stage_table(tops.join(sets.select(F.col("doc_id").alias("g"), F.posexplode("prefix").alias("place", "token")), "g"),
                         "postings")
 
     edges = _verified(members.where("doc_id <> g").select(F.col("doc_id").alias("a"), F.col("g").alias("b")), sets)
     edges = stage_table(edges, "edges")
     reach = components(edges)
     near = "175 * least(shared, s2) >= 75 * (n + n2)"
+    # At the first shingle two groups share, the overlap is at most what follows it in either.
+    first = "175 * least(shared - place, s2 - place2) >= 75 * (n + n2)"
     for turn in range(STARS + 1):
         labels = members.join(reach, members["doc_id"] == reach["node"], "left").select(
             "g", "doc_id", "n", "shared", F.coalesce("component", "doc_id").alias("component"))
@@ -211,21 +213,21 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.min("c1").alias("low"), F.max("c2").alias("high"),
             F.min(F.struct((F.col("n") - F.col("shared") if turn == 0 else F.xxhash64("g")).alias("rank"),
                            F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("shared").alias("s2"),
-                           F.col("c1").alias("c3"), F.col("c2").alias("c4"))).alias("hub"))
+                           F.col("place").alias("place2"), F.col("c1").alias("c3"), F.col("c2").alias("c4"))).alias("hub"))
         live = stage_table(live.where("low <> high"), "live")
         if live.isEmpty():
             break
         if turn < STARS:
             star = open_posts.join(live.select("token", "hub.*"), "token").where(
-                f"g <> g2 and not (c1 = c2 and c3 = c4 and c1 = c3) and {near}")
+                f"g <> g2 and not (c1 = c2 and c3 = c4 and c1 = c3) and {first}")
             pairs = star.select(F.least("g", "g2").alias("a"), F.greatest("g", "g2").alias("b")).distinct()
             more = _verified(pairs, sets)
         else:
             kept = open_posts.join(live.select("token"), "token", "left_semi")
             other = kept.select("token", *[F.col(x).alias(y) for x, y in (
-                ("g", "g2"), ("n", "n2"), ("shared", "s2"), ("c1", "c3"), ("c2", "c4"))])
+                ("g", "g2"), ("n", "n2"), ("shared", "s2"), ("place", "place2"), ("c1", "c3"), ("c2", "c4"))])
             groups = kept.join(other, "token").where(
-                f"g < g2 and not (c1 = c2 and c3 = c4 and c1 = c3) and {near}").select("g", "g2").distinct()
+                f"g < g2 and not (c1 = c2 and c3 = c4 and c1 = c3) and {first}").select("g", "g2").distinct()
             groups = groups.unionByName(span.where("c1 <> c2").select("g", F.col("g").alias("g2")))
             mine = labels.select("g", F.col("doc_id").alias("a"), "n", "shared", "component")
             theirs = labels.select(F.col("g").alias("g2"), F.col("doc_id").alias("b"), F.col("n").alias("n2"),

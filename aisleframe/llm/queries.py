@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleframe.llm import archive
+from aisleframe.llm import archive, toxicity
+from aisleframe.llm.decontamination import contaminated
 from aisleframe.llm.jaccard import similar_sets
 from aisleframe.llm.packing import pack
 from aisleframe.llm.pages import extract
@@ -21,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,14 @@ def digests(pieces: DataFrame) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op8_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model, into="score")
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_windows(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -60,5 +73,5 @@ def op10_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_grouped_prefix_join, op3_line_frequency, op4_minimum_cut, op5_suffix_arrays,
-    op6_lexical_packing, op9_repeated_windows, op10_archive)}
+    op1_spaced_seeds, op2_grouped_prefix_join, op3_line_frequency, op4_minimum_cut, op5_suffix_arrays,
+    op6_lexical_packing, op8_string_kernel, op9_repeated_windows, op10_archive)}

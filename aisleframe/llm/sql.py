@@ -53,3 +53,30 @@ SQL = {
     "op9_repeated_windows": WINDOWS,
     "op10_archive": WARC,
 }
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_MASKS = ((0, 1, 2, 4, 5, 8, 10, 11), (0, 2, 3, 5, 6, 7, 9, 11), (0, 1, 3, 4, 6, 8, 9, 11))
+
+
+def _seed_rows(source: str, key: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {key}, ws, i, {k} AS mask, concat_ws(' ', {', '.join(f'ws[i+{p}]' for p in mask)}) AS seed FROM {source}"
+        for k, mask in enumerate(_MASKS))
+
+
+SEEDS = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{WORD}') AS ws FROM documents),
+dp AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 10)) AS i FROM d WHERE len(ws) > 11),
+b AS (SELECT min(item_id) AS item_id, ws FROM (SELECT item_id, regexp_extract_all({_LOWER}, '{WORD}') AS ws
+      FROM benchmark) GROUP BY ws),
+bp AS (SELECT item_id, ws, unnest(range(1, len(ws) - 10)) AS i FROM b WHERE len(ws) > 11),
+ds AS ({_seed_rows('dp', 'doc_id')}),
+bs AS ({_seed_rows('bp', 'item_id')}),
+hits AS (SELECT DISTINCT doc_id, item_id, ds.i AS i, bs.i AS j, ds.ws AS w, bs.ws AS v
+         FROM ds JOIN bs USING (mask, seed)),
+equal AS (SELECT doc_id, item_id, i, list_sum([CASE WHEN i + t > 0 AND j + t > 0 AND w[i+t] = v[j+t] THEN 1 ELSE 0 END
+          FOR t IN range(-8, 20)]) AS n FROM hits)
+SELECT doc_id, item_id, count(DISTINCT i) AS n_hits, max(n)::BIGINT AS n_equal FROM equal WHERE n >= 12
+GROUP BY doc_id, item_id
+"""
+SQL["op1_spaced_seeds"] = SEEDS
