@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleframe.llm import archive, toxicity
+import corpus_pipeline
+from aisleframe.llm import archive, personal, toxicity
 from aisleframe.llm.decontamination import contaminated
 from aisleframe.llm.jaccard import similar_sets
 from aisleframe.llm.packing import pack
@@ -53,6 +54,20 @@ def digests(pieces: DataFrame) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op7_random_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find(_table(spark, sf_dir, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(column):
+        return F.array_join(F.transform(column, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+    return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")],
+                        F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op8_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
@@ -74,4 +89,6 @@ def op10_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_spaced_seeds, op2_grouped_prefix_join, op3_line_frequency, op4_minimum_cut, op5_suffix_arrays,
-    op6_lexical_packing, op8_string_kernel, op9_repeated_windows, op10_archive)}
+    op6_lexical_packing, op7_random_field, op8_string_kernel,
+    op9_repeated_windows, op10_archive)}
+QUERIES["pipeline"] = corpus_pipeline.run
