@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Positions that count under each mask of 12 words, from 0; words compared before and from the hit on.
+#: Every mask counts its first and last word.
 MASKS = ((0, 1, 2, 4, 5, 8, 10, 11), (0, 2, 3, 5, 6, 7, 9, 11), (0, 1, 3, 4, 6, 8, 9, 11))
 SPAN, BEFORE, AFTER = 12, 8, 20
+#: Places of a text that are handled together.
+PART = 64
 #: Equal words of the 28 compared that confirm a hit.
 LEAST_EQUAL = 12
 #: Seeds of a benchmark block; each block is broadcast (about 300 bytes a seed).
@@ -26,19 +29,31 @@ def _hashed(text_col: str):
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """One row for each place and mask: kept columns, h, place, seed."""
-    places = rows.where(F.size("h") >= SPAN).select(
-        *keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - SPAN)).alias("place"))
-    seeds = [F.struct(F.lit(k).alias("mask"), F.xxhash64(F.lit(k), *[F.get("h", F.col("place") + p) for p in mask])
-                      .alias("seed")) for k, mask in enumerate(MASKS)]
-    return places.select(*keep, "h", "place", F.explode(F.array(*seeds)).alias("s")).select(
-        *keep, "h", "place", F.col("s.seed").alias("seed"))
+def _places(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each place with 12 words: key, place, part and at (words around: part from at on), ends.
+
+    Texts are first cut into parts of PART places with the words around them, so that a place carries a
+    short array however long its text is. ends hashes the first and last of the 12 words, which every mask
+    counts: a place whose ends no benchmark place has needs no seeds.
+    """
+    null = F.lit(None).cast("long")
+    padded = rows.select(key, F.size("h").alias("n"), F.concat(F.array_repeat(null, BEFORE), "h").alias("h"))
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - SPAN, F.lit(0)), F.lit(PART)),
+                      lambda s: F.slice("h", s + 1, PART + BEFORE + AFTER))
+    parts = padded.select(key, "n", F.posexplode(cut).alias("k", "part"))
+    last = F.least(F.lit(PART - 1), F.col("n") - SPAN - F.col("k") * PART)
+    at = F.when(last >= 0, F.sequence(F.lit(0), last))
+    places = parts.select(key, "k", "part", F.explode(at).alias("at"))
+    return places.select(key, (F.col("k") * PART + F.col("at")).alias("place"), "part", "at", F.xxhash64(
+        F.get("part", F.col("at") + BEFORE), F.get("part", F.col("at") + (BEFORE + SPAN - 1))).alias("ends"))
 
 
-def _around():
-    return F.transform(F.sequence(F.col("place") - BEFORE, F.col("place") + AFTER - 1),
-                       lambda p: F.when(p >= 0, F.get("h", F.greatest(p, F.lit(0)))))
+def _seeded(places: DataFrame, key: str) -> DataFrame:
+    """One row for each place and mask: key, place, seed and the 28 words around."""
+    around = F.slice("part", F.col("at") + 1, BEFORE + AFTER).alias("around")
+    masks = F.array(*[F.array(*map(F.lit, mask)) for mask in MASKS])
+    seeds = F.transform(masks, lambda m: F.xxhash64(m, F.transform(m, lambda p: F.get("around", p + BEFORE))))
+    return places.select(key, "place", around).select(key, "place", "around", F.explode(seeds).alias("seed"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -58,11 +73,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = None
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("h"), F.lit(blocks)) == block)
-        wanted = F.broadcast(_seeds(part, ["item_id"]).select("item_id", "seed", _around().alias("around")).distinct())
-        hits = _seeds(texts, ["doc_id"]).join(wanted, "seed")
-        equal = F.aggregate(F.zip_with(_around(), "around", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0),
-                            lambda n, x: n + x)
-        hits = hits.select("doc_id", "item_id", "place", equal.alias("equal")).where(F.col("equal") >= LEAST_EQUAL)
+        theirs = _places(part, "item_id")
+        places = _places(texts, "doc_id").join(F.broadcast(theirs.select("ends").distinct()), "ends", "left_semi")
+        wanted = _seeded(theirs, "item_id").select("item_id", "seed", F.col("around").alias("item")).distinct()
+        hits = _seeded(places, "doc_id").join(F.broadcast(wanted), "seed")
+        same = F.size(F.filter(F.zip_with("around", "item", lambda x, y: x == y), lambda e: e))
+        hits = hits.select("doc_id", "item_id", "place", same.alias("equal")).where(F.col("equal") >= LEAST_EQUAL)
         found = hits if found is None else found.unionByName(hits)
     return found.groupBy("doc_id", "item_id").agg(
         F.countDistinct("place").alias("n_hits"), F.max("equal").cast("long").alias("n_equal"))
