@@ -56,8 +56,7 @@ def _tax_bills(df: DataFrame, by: Sequence[str]) -> DataFrame:
         F.sum(f"{r}_{what}").alias(f"_{r}_{what}")
         for r in REGIMES for what in ("revenue", "state_profits")
     ])
-    # Grouped by year alone the totals are one row per calendar year.
-    joined = df.join(F.broadcast(totals) if list(by) == ["year"] else totals, list(by))
+    joined = df.join(totals, list(by))
     shares = joined.withColumns({
         f"{r}_sales_share": safe_div(f"{r}_revenue", f"_{r}_revenue") for r in REGIMES
     })

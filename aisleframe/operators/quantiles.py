@@ -1,9 +1,8 @@
 """Exact quantiles and quantile bins that never gather an unbounded column in one task.
 
-Groups of at most SMALL values are solved by one exact aggregate. Beyond that, order statistics are
-found in two passes: a bounded sketch brackets each wanted rank, and exact counts of the rows below
-the bracket place the few rows inside it. The sketch decides only how many rows lie inside, never the
-result.
+Order statistics of groups of any size are found in two passes: a bounded sketch brackets each wanted
+rank, and exact counts of the rows below the bracket place the few rows inside it. The sketch decides
+only how many rows lie inside, never the result: a bracket that misses its rank is an error.
 """
 
 from __future__ import annotations
@@ -16,11 +15,11 @@ from pyspark.sql import functions as F
 from aisleframe.operators.joins import join_groups
 from aisleframe.sources.stages import stage_table
 
-# The sketch's rank error is n / SKETCH_ACCURACY. Brackets of +-BRACKET around each probability then
-# hold the wanted ranks for every n above SMALL; in a smaller group the bracket is the whole group.
+# The sketch's rank error is n / SKETCH_ACCURACY. Brackets of +-BRACKET around each probability hold the
+# wanted ranks with at least two to spare where n * BRACKET is that much; else they reach to the ends.
 SKETCH_ACCURACY = 100_000
 BRACKET = 1e-4
-SMALL = 100_000
+SPARE = 2
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
@@ -33,9 +32,6 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     values = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_x"))
     if not staged:
         values = stage_table(values, "quantile-values")
-    largest = values.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= SMALL:
-        return values.groupBy(*by).agg(F.percentile("_x", F.array(*map(F.lit, probs))).alias(name))
     return _bracketed(values, probs, by, name)
 
 
@@ -52,9 +48,9 @@ def _bracketed(values: DataFrame, probs: Sequence[float], by: Sequence[str], nam
         F.struct(
             F.lit(i).alias("i"),
             ((F.col("_n") - 1) * F.lit(p)).alias("h"),
-            F.when((F.col("_n") <= SMALL) | F.lit(lows[i] == 0), F.col("_min"))
+            F.when((F.col("_n") * BRACKET < SPARE) | F.lit(lows[i] == 0), F.col("_min"))
             .otherwise(F.col("_lows")[i]).alias("lo"),
-            F.when((F.col("_n") <= SMALL) | F.lit(highs[i] == 1), F.col("_max"))
+            F.when((F.col("_n") * BRACKET < SPARE) | F.lit(highs[i] == 1), F.col("_max"))
             .otherwise(F.col("_highs")[i]).alias("hi"),
         )
         for i, p in enumerate(probs)
@@ -79,8 +75,11 @@ def _bracketed(values: DataFrame, probs: Sequence[float], by: Sequence[str], nam
     points = ranked.groupBy(*by, F.col("_b")["i"].alias("i"), h.alias("h")).agg(
         F.min(F.when(F.col("_upto") > F.floor(h), F.col("_x"))).alias("lower"),
         F.min(F.when(F.col("_upto") > F.ceil(h), F.col("_x"))).alias("upper"),
+        F.max(F.col("_below")[F.col("_b")["i"]]).alias("below"),
     ).withColumn(
-        "q", F.col("lower") + (F.col("h") - F.floor("h")) * (F.col("upper") - F.col("lower"))
+        "q", F.when((F.col("below") > F.floor("h")) | F.col("upper").isNull(),
+                    F.raise_error(F.lit("a quantile bracket misses its rank")).cast("double"))
+        .otherwise(F.col("lower") + (F.col("h") - F.floor("h")) * (F.col("upper") - F.col("lower")))
     )
     cuts = F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda s: s["q"])
     return points.groupBy(*by).agg(cuts.alias(name))

@@ -73,7 +73,7 @@ def category_specs(cutoff: int, item: Sequence[str] = (), **kw) -> list[DidSpec]
 def pooled_specs(cutoff: int, placebos: tuple[int, int] | None = None, item: Sequence[str] = ("group",),
                  focal: int = 6, presence: tuple[int, int] = (2, 5)) -> list[DidSpec]:
     """The thirteen regressions over all categories; r12 and r13 repeat r11 at placebo cutoffs."""
-    before, after = placebos or (cutoff - 1, cutoff + 1)
+    before, after = placebos or (cutoff - 1, cutoff + 2)
     kw = {"item": item, "focal": focal, "presence": presence}
     rows = samples(focal, presence)
     return (

@@ -129,7 +129,7 @@ class ScannerPlan:
             self.path("results_hhi"),
         )
 
-        pooled = regression.fe_did(panel, specs.pooled_specs(s.cutoff, **kw))
+        pooled = regression.fe_did(panel, specs.pooled_specs(s.cutoff, s.placebos, **kw))
         write_results(pooled, self.path("results_pooled"))
 
         by_item = regression.fe_did(

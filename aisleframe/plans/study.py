@@ -18,3 +18,4 @@ class Study:
     presence: tuple[int, int] = (2, 5)
     price_digits: int = 2
     bins: int = 5
+    placebos: tuple[int, int] | None = None

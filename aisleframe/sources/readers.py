@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,17 +14,25 @@ from aisleframe.sources import schemas
 def _tsv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType) -> DataFrame:
     """Tab-separated files with a header; columns are matched by name, in any order, others ignored."""
     header = (
-        spark.read.option("sep", "\t").option("header", True).option("ignoreMissingFiles", True)
+        spark.read.option("sep", "\t").option("header", True)
         .option("recursiveFileLookup", True)
         .csv(paths if isinstance(paths, str) else list(paths), enforceSchema=False)
     )
     return header.select(
-        *[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name)
-          for f in schema.fields],
+        *[_typed(f.name, f.dataType.simpleString()).alias(f.name) for f in schema.fields],
         F.col("_metadata.file_name").alias("_file"),
     )
 
 
+def _typed(name: str, kind: str) -> Column:
+    """The field as its type; a value that is none of that type ends the job with its file."""
+    return F.expr(
+        f"CASE WHEN `{name}` IS NOT NULL AND try_cast(`{name}` AS {kind}) IS NULL THEN CAST(raise_error("
+        f"concat('{name} is no {kind}: ', `{name}`, ' in ', _metadata.file_name)) AS {kind}) "
+        f"ELSE try_cast(`{name}` AS {kind}) END"
+    )
+
+
 def read_movement(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Weekly movement files CCCC_YYYY.tsv; category and year come from the file name.
 

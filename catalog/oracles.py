@@ -98,7 +98,7 @@ CTE: dict[str, str] = {
             SELECT parent_code, "group", extras_group, year, quarter,
                    round(revenue / nullif(quantity, 0), -2) AS price, count(*) AS n,
                    sum(revenue) AS revenue, sum(quantity) AS w
-            FROM items WHERE year BETWEEN 1996 AND 2000 GROUP BY ALL),
+            FROM items GROUP BY ALL),
         means AS (
             SELECT parent_code, "group", extras_group, year, quarter,
                    sum(price * w) / sum(w) AS mean, max(n) AS top, sum(n) AS total
@@ -116,12 +116,12 @@ CTE: dict[str, str] = {
     "conc": """
         SELECT "group", avg(hhi) AS hhi
         FROM (SELECT "group", year, quarter, sum(hhi * total_revenue) / sum(total_revenue) AS hhi
-              FROM unif GROUP BY ALL) GROUP BY ALL""",
+              FROM unif WHERE year BETWEEN 1996 AND 2000 GROUP BY ALL) GROUP BY ALL""",
     "conc_items": """
         SELECT "group", extras_group, avg(hhi) AS hhi
         FROM (SELECT "group", extras_group, year, quarter,
                      sum(hhi * total_revenue) / sum(total_revenue) AS hhi
-              FROM unif GROUP BY ALL) GROUP BY ALL""",
+              FROM unif WHERE year BETWEEN 1996 AND 2000 GROUP BY ALL) GROUP BY ALL""",
     "bins": """
         SELECT "group", hhi, CAST(1 + (hhi > c[2])::INT + (hhi > c[3])::INT + (hhi > c[4])::INT
                                     + (hhi > c[5])::INT AS INTEGER) AS hhi_bin
@@ -282,7 +282,7 @@ POOLED_SPECS = FLAG_SPECS | {
     "r12": (f"{AWAY} AND zerotax AND {FEW}", SHARE, False),
     "r13": (f"{AWAY} AND zerotax AND {FEW}", SHARE, False),
 }
-CUTOFFS = {"r12": CUTOFF - 1, "r13": CUTOFF + 1}
+CUTOFFS = {"r12": CUTOFF - 1, "r13": CUTOFF + 2}
 
 
 def _fit(source: str, spec: str, sample: str, x: str, fe: str, by: str) -> str:
@@ -360,8 +360,8 @@ SQL: dict[str, str] = {
     "store_group_collapse": "SELECT * FROM sg",
     "parent_state": "SELECT * FROM parents",
     "frequent_groups": """
-        SELECT * FROM items WHERE year BETWEEN 1996 AND 2000
-        QUALIFY count(*) OVER (PARTITION BY "group", extras_group) > 60""",
+        SELECT * FROM (SELECT * FROM items QUALIFY count(*) OVER (PARTITION BY "group", extras_group) > 60)
+        WHERE year BETWEEN 1996 AND 2000""",
     "uniform_price": "SELECT * FROM unif",
     "price_concentration": "SELECT * FROM conc",
     "hhi_bins": "SELECT * FROM bins",
@@ -449,7 +449,7 @@ SQL: dict[str, str] = {
     "appearance_table": """
         WITH rows AS (
             SELECT *, count(*) OVER (PARTITION BY store_code_uc, "group") AS appearances
-            FROM sg WHERE year BETWEEN 1996 AND 2000)
+            FROM sg)
         SELECT "group", appearances, count(DISTINCT store_code_uc) AS n_stores, count(*) AS n_rows,
                count(*) / sum(count(*)) OVER (PARTITION BY "group") AS row_share,
                count(DISTINCT store_code_uc)
@@ -458,7 +458,7 @@ SQL: dict[str, str] = {
     "store_persistence": """
         WITH rows AS (
             SELECT *, count(*) OVER (PARTITION BY parent_code, fips_state_code, year, quarter) AS n
-            FROM sg WHERE "group" = 'ECONOMY'),
+            FROM (SELECT DISTINCT store_code_uc, parent_code, fips_state_code, year, quarter FROM sg)),
         means AS (
             SELECT *, avg(n) OVER (PARTITION BY parent_code, fips_state_code) AS mean FROM rows),
         flagged AS (SELECT DISTINCT parent_code, fips_state_code, year, quarter, n, mean FROM means)
@@ -641,10 +641,13 @@ SQL: dict[str, str] = {
                    kappa * pow(price, -epsilon) AS quantity,
                    quantity * (1 - FA_tax_rate) AS labour, pow(quantity, 0.25::DOUBLE) AS wage
             FROM sweep)
-        SELECT a.firm_id, a.year, a.price / b.price AS price_ratio,
-               a.quantity / b.quantity AS quantity_ratio, a.labour / b.labour AS labour_ratio,
-               a.wage / b.wage AS wage_ratio
-        FROM priced a JOIN priced b USING (firm_id, year) WHERE a.state = 1 AND b.state = 2""",
+        SELECT firm_id, year,
+               max(price) FILTER (state = 1) / max(price) FILTER (state = 2) AS price_ratio,
+               max(quantity) FILTER (state = 1) / max(quantity) FILTER (state = 2) AS quantity_ratio,
+               max(labour) FILTER (state = 1) / max(labour) FILTER (state = 2) AS labour_ratio,
+               max(wage) FILTER (state = 1) / max(wage) FILTER (state = 2) AS wage_ratio
+        FROM priced GROUP BY firm_id, year
+        HAVING bool_or(state = 1) AND bool_or(state = 2)""",
     "pricing_residual": """
         SELECT firm_id, state, year,
                sum(FA_tax_rate * q) OVER f / sum(q) OVER f AS mean_rate,

@@ -111,19 +111,20 @@ def parent_state(spark, sf_dir):
 
 @query
 def frequent_groups(spark, sf_dir):
-    panel = stage_table(_extras(spark, sf_dir, m.WINDOW), "extras")
-    return collapse.frequent_groups(panel, 60)
+    """Groups are counted over all years, then cut to the window."""
+    panel = stage_table(_extras(spark, sf_dir), "extras")
+    return collapse.frequent_groups(panel, 60).where(F.col("year").between(*m.WINDOW))
 
 
 # --- uniform prices ----------------------------------------------------------------------------
 
-def _uniform(spark, sf_dir):
-    return pricing.uniform_price(_extras(spark, sf_dir, m.WINDOW), digits=-2)
+def _uniform(spark, sf_dir, window=m.WINDOW):
+    return pricing.uniform_price(_extras(spark, sf_dir, window), digits=-2)
 
 
 @query
 def uniform_price(spark, sf_dir):
-    return _uniform(spark, sf_dir)
+    return _uniform(spark, sf_dir, None)
 
 
 @query
@@ -284,15 +285,15 @@ def store_appearances(spark, sf_dir):
 
 @query
 def appearance_table(spark, sf_dir):
-    return reports.appearance_table(m.store_groups(spark, sf_dir, m.WINDOW), ["group"])
+    return reports.appearance_table(m.store_groups(spark, sf_dir), ["group"])
 
 
 @query
 def store_persistence(spark, sf_dir):
-    """Stores count as present in the quarters in which they sell the category."""
-    active = m.store_groups(spark, sf_dir).where(F.col("group") == EGGS).withColumn(
-        "yearqtr", year_quarter()
-    )
+    """Stores count as present in the quarters in which they sell anything."""
+    active = m.store_groups(spark, sf_dir).select(
+        "store_code_uc", "parent_code", "fips_state_code", "year", "quarter"
+    ).distinct().withColumn("yearqtr", year_quarter())
     return reports.store_persistence(active, period="yearqtr")
 
 

@@ -37,11 +37,9 @@ def test_one_price_has_no_spread(spark):
     assert out.price_sd == 0.0 and out.mode_share == 1.0 and out.hhi == 1.0
 
 
-@pytest.mark.parametrize("small", [quantiles.SMALL, 0])
-def test_type_7_quantile(spark, monkeypatch, small):
-    monkeypatch.setattr(quantiles, "SMALL", small)
+def test_type_7_quantile(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (7.0,), (None,)], "x double")
-    probs = [0.0, 0.5, 1.0] if small == 0 else [0.0, 0.2, 0.5, 1.0]
+    probs = [0.0, 0.2, 0.5, 1.0]
     cuts = quantiles.exact_quantiles(df, "x", probs).first().cuts
     assert cuts == pytest.approx(np.quantile([1, 2, 4, 7], probs).tolist())
 

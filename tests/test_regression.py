@@ -137,5 +137,5 @@ def test_catalogue():
         "r1", "r2", "r3", "r4", "r5", "r6", "r7", "r2a", "r3a", "r4a"
     ]
     pooled = {s.name: s for s in specs.pooled_specs(2011)}
-    assert (pooled["r11"].cutoff, pooled["r12"].cutoff, pooled["r13"].cutoff) == (2011, 2010, 2012)
+    assert (pooled["r11"].cutoff, pooled["r12"].cutoff, pooled["r13"].cutoff) == (2011, 2010, 2013)
     assert pooled["r6"].fe == ("parent_code", "group", "yearqtr")
