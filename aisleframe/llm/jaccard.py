@@ -124,9 +124,10 @@ def _count(bits: int, buckets: int):
             order = np.lexsort((docs, bucket))
             bucket, docs, hashes, counts = (x[order] for x in (bucket, docs, hashes, counts))
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            stops = np.append(cuts[1:], len(docs))[:len(cuts)]
             out += [{"bucket": int(bucket[a]), "docs": planes(docs[a:b]), "hashes": hashes[a:b].tobytes(),
                      "counts": counts[a:b].astype(np.int32).tobytes()}
-                    for a, b in zip(cuts, [*cuts[1:], len(docs)], strict=True)]
+                    for a, b in zip(cuts, stops, strict=True)]
         return pa.Table.from_pylist(out, schema)
 
     return run
