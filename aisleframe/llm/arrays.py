@@ -18,6 +18,8 @@ LOWER[65:91] += 32
 #: One odd 64-bit number per byte value, drawn from a fixed generator.
 BYTE_CODES = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Words whose bytes are spread out at a time.
+CHUNK = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -100,11 +102,17 @@ class Words:
         if not len(size):
             return np.zeros(0, np.uint64)
         begin = np.cumsum(size) - size
-        place = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(begin.astype(np.int32), size)
+        letters = self.data[self.inside]
         powers = np.full(int(size.max()), BASE, np.uint64)
         powers[0] = 1
-        terms = BYTE_CODES[self.data[self.inside]] * np.cumprod(powers)[place]
-        return mix(np.add.reduceat(terms, begin) + size.astype(np.uint64))
+        powers = np.cumprod(powers)
+        out = np.empty(len(size), np.uint64)
+        for a in range(0, len(size), CHUNK):  # a bounded number of words at a time
+            own, at = size[a:a + CHUNK], begin[a:a + CHUNK] - begin[a]
+            part = letters[begin[a]:begin[a] + int(own.sum())]
+            place = np.arange(len(part)) - np.repeat(at, own)
+            out[a:a + CHUNK] = np.add.reduceat(BYTE_CODES[part] * powers[place], at)
+        return mix(out + size.astype(np.uint64))
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rabin-Karp hash of each k consecutive words of one row, and the number of its first word."""

@@ -17,7 +17,7 @@ from aisleframe.llm.arrays import blocks
 from aisleframe.llm.tokens import Encoder, default_path
 
 #: Text bytes in a shard; the id that ends each document; terms of a seed that are looked up.
-SHARD = 4 << 20
+SHARD = 3 << 20
 END = 0
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75

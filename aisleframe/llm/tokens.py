@@ -15,7 +15,7 @@ import numpy as np
 from aisleframe.llm.arrays import BASE, mix
 
 #: Pieces a worker remembers before it starts anew.
-KNOWN = 300_000
+KNOWN = 200_000
 LETTER, DIGIT, SPACE, OTHER = 1, 2, 3, 0
 
 

@@ -21,7 +21,7 @@ from aisleframe.llm.arrays import LOWER, Words, slices, utf8
 
 PIECE = 2 << 20
 #: Labelled texts of each class to train on; landmarks (spread by pivoted Cholesky); decay of a triple for each letter it skips.
-SAMPLE = 1500
+SAMPLE = 1200
 LANDMARKS = 600
 #: Insulting words to train on; other words are up to ten times as many.
 MOST = 1500
