@@ -79,10 +79,25 @@ def two_way_table(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> Da
 
 
 def distinct_counts(df: DataFrame, keys: Sequence[str], counts: dict[str, tuple[Column, str]]) -> DataFrame:
-    """Exact distinct counts of columns under conditions, name -> (condition, column)."""
-    return df.groupBy(*keys).agg(*[
-        F.count_distinct(F.when(cond, F.col(col))).alias(name)
-        for name, (cond, col) in counts.items()
+    """Exact distinct counts of columns under conditions, name -> (condition, column).
+
+    The panel shrinks to one row for each combination of the counted columns first, then to one row for
+    each value; no row of the panel is copied.
+    """
+    columns = sorted({col for _, col in counts.values()})
+    cells = df.groupBy(*keys, *columns).agg(*[
+        F.max(F.coalesce(cond, F.lit(False))).alias(name) for name, (cond, _) in counts.items()
+    ])
+    types = dict(df.dtypes)
+    values = F.array(*[
+        F.struct(*[(F.col(c) if c == col else F.lit(None).cast(types[c])).alias(c) for c in columns])
+        for col in columns
+    ])
+    single = cells.select(*keys, *counts, F.explode(values).alias("_value"))
+    seen = single.groupBy(*keys, "_value").agg(*[F.max(name).alias(name) for name in counts])
+    return seen.groupBy(*keys).agg(*[
+        F.count_if(F.col(name) & F.col("_value")[col].isNotNull()).alias(name)
+        for name, (_, col) in counts.items()
     ])
 
 

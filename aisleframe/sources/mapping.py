@@ -11,7 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aisleframe.functions.scalars import demand, markup_price, safe_div
-from aisleframe.operators.collapse import attach_stores, movement_totals, parent_state
+from aisleframe.operators.collapse import (
+    attach_stores,
+    movement_quarter,
+    movement_totals,
+    parent_state,
+    total_by,
+)
 from aisleframe.operators.scenarios import kappa_calibration
 
 FOCAL = 6
@@ -26,7 +32,7 @@ TAX_YEARS = (1993, 2001)
 
 # Columns in use; a stated schema spares the pass over the files that would infer it.
 TABLES = {
-    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, "
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
     "l_extendedprice double, l_tax double, l_shipdate timestamp_ntz",
     "orders": "o_orderkey long, o_custkey long",
     "customer": "c_custkey long, c_nationkey int",
@@ -40,9 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def movement(spark: SparkSession, sf_dir: str, group: bool = True,
-             years: tuple[int, int] | None = None) -> DataFrame:
-    """Weekly movement; a year window is a date range on the scan, so it reaches the files."""
+def movement(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
+    """Weekly movement; a year window is a date range on the scan, so it reaches the files.
+
+    The price is for as many units as the line's number says.
+    """
     lines = table(spark, sf_dir, "lineitem")
     if years:
         lines = lines.where(
@@ -50,20 +58,27 @@ def movement(spark: SparkSession, sf_dir: str, group: bool = True,
             & (F.col("l_shipdate") < F.lit(f"{years[1] + 1}-01-01").cast("timestamp_ntz"))
         )
     day = F.col("l_shipdate")
-    weeks = lines.select(
+    return lines.select(
         F.col("l_suppkey").alias("store_code_uc"),
         F.col("l_partkey").alias("upc"),
         (F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)).alias("week_end"),
         F.col("l_quantity").alias("units"),
-        F.col("l_quantity").alias("prmult"),
+        F.col("l_linenumber").cast("double").alias("prmult"),
         F.col("l_extendedprice").alias("price"),
     )
-    if not group:
-        return weeks
+
+
+def with_group(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with the category of their product."""
     parts = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("upc"), F.col("p_type").alias("group")
     )
-    return weeks.join(parts, "upc", "left")
+    return df.join(parts, "upc", "left")
+
+
+def quarterly(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
+    """Store x product x quarter with its category; weeks are summed before the category is joined."""
+    return with_group(movement_quarter(movement(spark, sf_dir, years)), spark, sf_dir)
 
 
 def parent_code(key: str) -> Column:
@@ -145,23 +160,21 @@ def tax_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_groups(spark: SparkSession, sf_dir: str,
                  years: tuple[int, int] | None = None) -> DataFrame:
     """Store x category x quarter with parent and state."""
-    totals = movement_totals(
-        movement(spark, sf_dir, years=years), ["store_code_uc", "group", "year", "quarter"]
-    )
+    totals = total_by(quarterly(spark, sf_dir, years), ["store_code_uc", "group", "year", "quarter"])
     return attach_stores(totals, stores(spark, sf_dir), unique=True)
 
 
 def parents(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
     """Parent x state x quarter; stores are collapsed before they are joined."""
     totals = movement_totals(
-        movement(spark, sf_dir, group=False, years=years), ["store_code_uc", "year", "quarter"]
+        movement(spark, sf_dir, years), ["store_code_uc", "year", "quarter"]
     )
     return parent_state(attach_stores(totals, stores(spark, sf_dir), unique=True))
 
 
 def chain_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yearly revenue of each chain in each state."""
-    totals = movement_totals(movement(spark, sf_dir, group=False), ["store_code_uc", "year"])
+    totals = movement_totals(movement(spark, sf_dir), ["store_code_uc", "year"])
     return attach_stores(totals, stores(spark, sf_dir), unique=True).groupBy(
         F.col("parent_code").alias("firm_id"), F.col("fips_state_code").alias("state"), "year"
     ).agg(F.sum("revenue").alias("revenue"))
@@ -207,7 +220,7 @@ def factor_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Firm panel with prices, quantities and factor use; every other state has a wage-setting firm."""
     q = F.col("optimal_quantity_consumed")
     constants = {
-        "wage": 0.5, "rental_rate": 0.4, "alpha": 0.3, "A": 1.0, "Lbar": 27.848558398,
+        "wage": 0.5, "rental_rate": 0.4, "alpha": 0.3, "A": 1.0, "Lbar": 24.5,
         "sales_weight": 0.5, "payroll_weight": 0.25, "property_weight": 0.25,
         "separate_acct_tax_rate": 0.01, "sales_tax_rate": 0.02, "payroll_tax_rate": 0.03,
     }

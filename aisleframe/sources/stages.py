@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _local_dirs: dict[str, str] = {}
@@ -65,9 +66,15 @@ def read_stage(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 
 def write_chunks(df: DataFrame, path: str, n: int, first_year: int, last_year: int) -> None:
-    """Stack all categories of a year window into n output files."""
+    """Stack all categories of a year window into n folders, chunk=0 to n - 1.
+
+    A row's chunk is a hash of its values. Large chunks are split over many tasks and files, so n does
+    not bound the number of writers.
+    """
     window = df.where(df["year"].between(first_year, last_year))
-    window.repartition(n).write.mode("overwrite").parquet(path)
+    chunk = F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
+    window.withColumn("chunk", chunk).hint("rebalance", "chunk").write.mode("overwrite").partitionBy(
+        "chunk").parquet(path)
 
 
 def write_results(df: DataFrame, path: str) -> None:

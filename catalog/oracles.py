@@ -25,7 +25,7 @@ CTE: dict[str, str] = {
         SELECT l_suppkey AS store_code_uc, l_partkey AS upc, p_type AS "group",
                CAST(year(l_shipdate) AS INTEGER) AS year,
                CAST(quarter(l_shipdate) AS INTEGER) AS quarter,
-               l_extendedprice / nullif(l_quantity, 0) * l_quantity AS revenue,
+               l_extendedprice / nullif(l_linenumber, 0) * l_quantity AS revenue,
                l_quantity AS quantity
         FROM lineitem LEFT JOIN part ON l_partkey = p_partkey""",
     "products": """
@@ -208,7 +208,7 @@ CTE |= {
                optimal_price AS p, optimal_quantity_consumed AS q, q * 0.6::DOUBLE AS l,
                q * 0.4::DOUBLE AS k, q * 0.1::DOUBLE AS m,
                CASE WHEN state % 2 = 0 THEN 0.5::DOUBLE
-                    ELSE pow(q * 0.6::DOUBLE / 27.848558398::DOUBLE, 1 / 3.8::DOUBLE) END AS w,
+                    ELSE pow(q * 0.6::DOUBLE / 24.5::DOUBLE, 1 / 3.8::DOUBLE) END AS w,
                w * l AS payroll, 0.4::DOUBLE * k AS property, p * q AS sales,
                pow(k, 0.3::DOUBLE) * pow(l, 1 - 0.3::DOUBLE) + m AS output,
                payroll + property + cost * m AS factor_cost
@@ -516,7 +516,7 @@ SQL: dict[str, str] = {
                0::DOUBLE AS separate_acct_tax_rate,
                CASE WHEN s = 1 AND y = 0 THEN 0.1::DOUBLE / epsilon ELSE 0 END AS sales_tax_rate,
                0::DOUBLE AS payroll_tax_rate
-        FROM firms, (VALUES (0, 5), (1, 1), (2, 2), (3, 3), (4, 5), (5, 10), (6, 50)) v(y, n),
+        FROM firms, (VALUES (0, 4), (1, 1), (2, 3), (3, 4), (4, 6), (5, 12), (6, 40)) v(y, n),
              (SELECT unnest(generate_series(1, 50)) AS s)
         WHERE s <= n""",
     "rate_sweep": "SELECT * FROM sweep",
@@ -534,7 +534,7 @@ SQL: dict[str, str] = {
     "kappa_calibration": "SELECT * FROM calibrated",
     "scaled_revenue": """
         SELECT state, year, sum(revenue) AS spending,
-               sum(revenue) * 611000 / 17511000 AS revenue FROM chain GROUP BY state, year""",
+               sum(revenue) * 420000 / 9000000 AS revenue FROM chain GROUP BY state, year""",
     "counterfactual_prices": "SELECT firm_id, state, year, " + ", ".join(
         f"{r}_{what}" for r in ("perceived_sales_tax", "naive", "optimal")
         for what in ("price", "quantity", "revenue", "state_profits", "sales_share",

@@ -22,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 EGGS = "ECONOMY"
-SCENARIOS = ((0, 5), (1, 1), (2, 2), (3, 3), (4, 5), (5, 10), (6, 50))
+SCENARIOS = ((0, 4), (1, 1), (2, 3), (3, 4), (4, 6), (5, 12), (6, 40))
 
 
 def _rounded(column: str):
@@ -57,23 +57,23 @@ def upc_versions(spark, sf_dir):
 
 @query
 def categories(spark, sf_dir):
-    return m.movement(spark, sf_dir).select("group").distinct()
+    return m.quarterly(spark, sf_dir).select("group").distinct()
 
 
 @query
 def movement_quarter(spark, sf_dir):
-    return collapse.movement_quarter(m.movement(spark, sf_dir, group=False))
+    return collapse.movement_quarter(m.movement(spark, sf_dir))
 
 
 def _extras(spark, sf_dir, years=None):
-    quarterly = collapse.movement_quarter(m.movement(spark, sf_dir, years=years))
+    quarterly = m.quarterly(spark, sf_dir, years)
     placed = collapse.attach_stores(quarterly, m.stores(spark, sf_dir), unique=True)
     return collapse.extras_collapse(placed, m.extras(spark, sf_dir), m.ATTRIBUTES, unique=True)
 
 
 @query
 def product_panel(spark, sf_dir):
-    quarterly = collapse.movement_quarter(m.movement(spark, sf_dir))
+    quarterly = m.quarterly(spark, sf_dir)
     return collapse.product_panel(
         quarterly, m.stores(spark, sf_dir), m.upc_versions(spark, sf_dir), unique=True
     )
@@ -91,7 +91,7 @@ def extras_collapse(spark, sf_dir):
 
 @query
 def store_group_collapse(spark, sf_dir):
-    return m.store_groups(spark, sf_dir)
+    return collapse.store_group_collapse(_extras(spark, sf_dir))
 
 
 @query
@@ -170,11 +170,12 @@ def exposure_flags(spark, sf_dir):
     return _flags(spark, sf_dir)
 
 
-def _exposure(spark, sf_dir, extra=(), items=False):
+def _exposure(spark, sf_dir, extra=(), items=False, collapsed=None):
     """Panel of the study window; the staged panel serves the parents as well, which are written so
     that their size is known when they are joined back."""
-    collapsed = _extras if items else m.store_groups
-    panel = stage_table(collapsed(spark, sf_dir, m.WINDOW), "panel")
+    if collapsed is None:
+        collapsed = (_extras if items else m.store_groups)(spark, sf_dir, m.WINDOW)
+    panel = stage_table(collapsed, "panel")
     parents = stage_table(collapse.parent_state(panel), "parents")
     flags = exposure.exposure_flags(parents, m.FOCAL, m.OTHER_STATES)
     zero = taxes.zero_tax_states(m.statutory_rates(spark, sf_dir), m.CUTOFF)
@@ -343,8 +344,10 @@ def did_by_group_extras(spark, sf_dir):
 
 @query
 def did_by_bin(spark, sf_dir):
-    panel = _exposure(spark, sf_dir)
-    bins = pricing.hhi_bins(_uniform(spark, sf_dir))
+    """Panel and prices come from one staged collapse of the line items."""
+    items = stage_table(_extras(spark, sf_dir, m.WINDOW), "extras")
+    panel = _exposure(spark, sf_dir, collapsed=collapse.store_group_collapse(items))
+    bins = pricing.hhi_bins(pricing.uniform_price(items, digits=-2))
     binned = joins.update_join(panel, bins, ["group"], ["hhi_bin"], unique=True)
     return regression.fe_did(
         binned, specs.flag_specs(m.CUTOFF, ("group",), focal=m.FOCAL), ["hhi_bin"]
@@ -449,7 +452,7 @@ def scaled_revenue(spark, sf_dir):
     """A firm's revenue spread over states as their total sales are."""
     return scenarios.scaled_revenue(
         m.chain_revenue(spark, sf_dir).groupBy("state", "year").agg(F.sum("revenue").alias("spending")),
-        "spending", 611000, 17511000,
+        "spending", 420000, 9000000,
     )
 
 
