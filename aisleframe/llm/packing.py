@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aisleframe.llm.arrays import blocks
+from aisleframe.llm.arrays import blocks, slices
 from aisleframe.llm.tokens import Encoder, default_path
 
-#: Text bytes in a shard; the id that ends each document; terms of a seed that are looked up.
-SHARD = 3 << 20
+#: Text bytes in a shard, and in a call of the encoder; the id that ends each document; terms of a seed that are looked up.
+SHARD, PIECE = 8 << 20, 1 << 20
 END = 0
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
@@ -28,15 +28,16 @@ class Index:
 
     def __init__(self, item: np.ndarray, term: np.ndarray, n: int):
         code, tf = np.unique(item.astype(np.int64) << 32 | term, return_counts=True)
-        self.item, self.term = code >> 32, code & 0xFFFFFFFF
+        rows, self.term = (code >> 32).astype(np.int32), (code & 0xFFFFFFFF).astype(np.int32)
+        del code
         length = np.bincount(item, minlength=n)
         df = np.bincount(self.term)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * length / max(1.0, float(length.mean())))
-        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + norm[self.item])
-        self.begin = np.searchsorted(self.item, np.arange(n + 1))
+        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + norm[rows])
+        self.begin = np.searchsorted(rows, np.arange(n + 1, dtype=np.int32))
         order = np.argsort(self.term, kind="stable")
-        self.post_item, self.post_weight = self.item[order], self.weight[order]
+        self.post_item, self.post_weight = rows[order], self.weight[order]
         self.post_begin = np.concatenate([[0], np.cumsum(df)])
         self.n = n
 
@@ -96,13 +97,16 @@ def _pack(path: str, window: int):
         number = TaskContext.get().partitionId() << 40
         encoder = Encoder.of(path)
         for block in blocks(batches, "text", SHARD):
-            ids, at = encoder([t or "" for t in block.column("text").to_pylist()])
-            size = np.diff(at) + 1
+            parts = [encoder([t or "" for t in piece.column("text").to_pylist()])
+                     for piece in slices([block], "text", PIECE)]
+            ids = np.concatenate([ids for ids, _ in parts])
+            size = np.concatenate([np.diff(at) for _, at in parts]) + 1
             begin = np.cumsum(size) - size
             tokens = np.full(int(size.sum()), END, "<u4")
             inner = np.ones(len(tokens), bool)
             inner[begin + size - 1] = False
             tokens[inner] = ids
+            del parts, ids, inner
             pieces = []  # document, start, length, sequence, offset
             whole = size // window
             for doc in np.flatnonzero(whole):
@@ -114,10 +118,12 @@ def _pack(path: str, window: int):
             if len(items):
                 length = rest[items]
                 head = begin[items] + whole[items] * window
-                item = np.repeat(np.arange(len(items)), length)
+                item = np.repeat(np.arange(len(items), dtype=np.int32), length)
                 first = np.cumsum(length) - length
                 term = tokens[np.repeat(head - first, length) + np.arange(len(item))]
-                for found in fill(length, Index(item, term, len(items)), window):
+                index = Index(item, term, len(items))
+                del item, term
+                for found in fill(length, index, window):
                     offset = 0
                     for i, start, count in found:
                         pieces.append((items[i], whole[items[i]] * window + start, count, number, offset))

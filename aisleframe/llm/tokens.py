@@ -12,7 +12,7 @@ import types
 
 import numpy as np
 
-from aisleframe.llm.arrays import BASE, mix
+from aisleframe.llm.arrays import BASE, CHUNK, mix
 
 #: Pieces a worker remembers before it starts anew.
 KNOWN = 200_000
@@ -122,11 +122,16 @@ class Encoder:
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
         size = np.diff(start, append=len(points))
-        place = np.arange(len(points), dtype=np.int32) - np.repeat(start.astype(np.int32), size)
         powers = np.full(int(size.max()), BASE, np.uint64)
         powers[0] = 1
-        hashes = mix(np.add.reduceat((points.astype(np.uint64) + np.uint64(1)) * np.cumprod(powers)[place], start)
-                     + size.astype(np.uint64))
+        powers = np.cumprod(powers)
+        hashes = np.empty(len(start), np.uint64)
+        for a in range(0, len(start), CHUNK):  # a bounded number of pieces at a time
+            first, own = start[a], size[a:a + CHUNK]
+            begin = start[a:a + CHUNK] - first
+            part = points[first:first + int(own.sum())].astype(np.uint64) + np.uint64(1)
+            hashes[a:a + CHUNK] = np.add.reduceat(part * powers[np.arange(len(part)) - np.repeat(begin, own)], begin)
+        hashes = mix(hashes + size.astype(np.uint64))
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.slots) > KNOWN:
             self.clear()

@@ -21,12 +21,14 @@ from aisleframe.llm.arrays import LOWER, Words, slices, utf8
 
 PIECE = 2 << 20
 #: Labelled texts of each class to train on; landmarks (spread by pivoted Cholesky); decay of a triple for each letter it skips.
-SAMPLE = 1200
-LANDMARKS = 600
+SAMPLE = 1500
+LANDMARKS = 900
 #: Insulting words to train on; other words are up to ten times as many.
 MOST = 1500
 DECAY = 0.6
 ROUNDS = 5
+#: Triples, and words, whose dense vectors are held at a time.
+COLUMNS, ROWS = 4096, 250
 #: Letters: a-z, and the last byte of other characters; any other byte is a gap. START opens a word.
 SIGNS = np.zeros(256, np.int64)
 SIGNS[97:123] = np.arange(1, 27)
@@ -75,16 +77,27 @@ def matrix(spelling, codes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
         known = codes[at] == code
         np.add.at(out, (word[known], at[known]), np.float32(weight))
-    return out / np.sqrt(np.maximum(norm, 1e-9))[:, None].astype(np.float32)
+    out /= np.sqrt(np.maximum(norm, 1e-9))[:, None].astype(np.float32)
+    return out
+
+
+def kernel_of(spelling) -> np.ndarray:
+    """Kernel of all pairs of the words, summed over blocks of triples."""
+    codes = np.unique(np.concatenate([code for _, code, _ in triples(*spelling)]))
+    total = np.zeros((len(spelling[1]),) * 2)
+    for a in range(0, len(codes), COLUMNS):
+        block = matrix(spelling, codes[a:a + COLUMNS])
+        total += block @ block.T
+    return total
 
 
 def spread_out(kernel: np.ndarray, n: int) -> np.ndarray:
     """Pivoted Cholesky: up to n rows, each the one that those before explain least."""
-    rest, factor, chosen = np.diag(kernel).copy(), np.zeros((len(kernel), 0)), []
+    rest, factor, chosen = np.diag(kernel).copy(), np.zeros((len(kernel), n)), []
     while len(chosen) < n and rest.max() > 1e-3:
         pivot = int(rest.argmax())
-        column = (kernel[:, pivot] - factor @ factor[pivot]) / np.sqrt(rest[pivot])
-        factor = np.hstack([factor, column[:, None]])
+        column = (kernel[:, pivot] - factor[:, :len(chosen)] @ factor[pivot, :len(chosen)]) / np.sqrt(rest[pivot])
+        factor[:, len(chosen)] = column
         rest = np.maximum(rest - column ** 2, 0)
         rest[pivot] = 0
         chosen.append(pivot)
@@ -92,14 +105,21 @@ def spread_out(kernel: np.ndarray, n: int) -> np.ndarray:
 
 
 def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, steps: int = 60) -> np.ndarray:
-    """Weights (the last is the bias) of a squared-hinge machine, by Newton steps on its active rows."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """Weights (the last is the bias) of a squared-hinge machine, by Newton steps on its active rows.
+
+    The last column of x is ones. Rows are summed in blocks, so that x is never copied.
+    """
     w = np.zeros(x.shape[1])
     balance = weight / np.where(y > 0, weight[y > 0].sum(), weight[y < 0].sum()) * len(y) / 2
     for _ in range(steps):
-        on = y * (x @ w) < 1
-        xa, ya, ba = x[on], y[on], balance[on]
-        new = np.linalg.solve(np.eye(len(w)) / cost + xa.T @ (xa * ba[:, None]), xa.T @ (ya * ba))
+        gram, side = np.eye(len(w)) / cost, np.zeros(len(w))
+        for a in range(0, len(x), 4 * ROWS):
+            xa, ya = x[a:a + 4 * ROWS].astype(float), y[a:a + 4 * ROWS]
+            on = ya * (xa @ w) < 1
+            xa, ya, ba = xa[on], ya[on], balance[a:a + 4 * ROWS][on]
+            gram += xa.T @ (xa * ba[:, None])
+            side += xa.T @ (ya * ba)
+        new = np.linalg.solve(gram, side)
         if np.abs(new - w).max() < 1e-7:
             return new
         w = (w + new) / 2 if _ > 20 else new
@@ -137,18 +157,19 @@ def features(words: Words, score: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, float, np.ndarray]:
+def train(texts: pa.Array | pa.ChunkedArray, toxic: list[int]) -> tuple[np.ndarray, float, np.ndarray]:
     """(triple weights, word bias, text weights) from labelled texts; without both classes, all scores are 0."""
     y = np.array(toxic)
     table, bias = np.zeros(SIZE ** 3), 0.0
     if not 0 < y.sum() < len(y):
         return table, bias, np.array([0, 0, 0, 0, -40.0])
-    words = Words(*utf8(pa.array(texts, pa.string())), lower=True)
+    words = Words(*utf8(texts), lower=True)
     kind, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-    row = words.rows()
-    seen = np.unique(which.astype(np.int64) * len(texts) + row)
+    which = which.astype(np.int32)
+    seen = np.unique(which * np.int64(len(texts)) + words.rows())
     in_toxic = np.bincount(seen // len(texts), weights=y[seen % len(texts)], minlength=len(kind))
     in_clean = np.bincount(seen // len(texts), minlength=len(kind)) - in_toxic
+    del seen
     n1, n0 = int(y.sum()), int((1 - y).sum())
     odds = np.log((in_toxic + 0.5) / (n1 + 1)) - np.log((in_clean + 0.5) / (n0 + 1))
     expected = (in_toxic + in_clean) * n1 / len(y)
@@ -174,24 +195,25 @@ def train(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, float, np.nda
 
     pool = np.concatenate([positive[:LANDMARKS], usual[:LANDMARKS // 2],
                            draw.choice(negative, min(LANDMARKS // 2, len(negative)), replace=False)])
-    codes = np.unique(np.concatenate([code for _, code, _ in triples(*part(pool))]))
-    vectors = matrix(part(pool), codes)
-    marks = vectors[spread_out((vectors @ vectors.T).astype(float), LANDMARKS)]
+    chosen = pool[spread_out(kernel_of(part(pool)), LANDMARKS)]
+    codes = np.unique(np.concatenate([code for _, code, _ in triples(*part(chosen))]))
+    marks = matrix(part(chosen), codes)
     values, turned = np.linalg.eigh((marks @ marks.T).astype(float))
     root = turned / np.sqrt(np.maximum(values, 1e-6)) @ turned.T
 
-    fold = (marks.T @ root).astype(np.float32)
-
     def mapped(chosen):
-        return np.concatenate([matrix(part(c), codes) @ fold for c in np.array_split(chosen, -(-len(chosen) // 500))])
+        out = np.ones((len(chosen), len(root) + 1), np.float32)
+        for a in range(0, len(chosen), ROWS):
+            out[a:a + ROWS, :-1] = (matrix(part(chosen[a:a + ROWS]), codes) @ marks.T) @ root
+        return out
 
     for turn in range(ROUNDS):
         chosen = np.concatenate([positive, negative])
         sign = np.where(np.arange(len(chosen)) < len(positive), 1.0, -1.0)
         weight = np.sqrt(np.where(sign > 0, in_toxic[chosen], in_clean[chosen]))
-        w = hinge(mapped(chosen).astype(float), sign, weight, 200.0)
+        w = hinge(mapped(chosen), sign, weight, 200.0)
         table = np.zeros(SIZE ** 3)
-        table[codes] = fold @ w[:-1]
+        table[codes] = (root @ w[:-1]) @ marks
         bias = float(w[-1])
         score = folded(table, *spelling) + bias
         if turn < ROUNDS - 1:  # words of clean texts that look insulting become examples against it
@@ -228,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     few = F.broadcast(sides[0].unionByName(sides[1]).groupBy("id").agg(F.max("toxic").alias("toxic")))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(few, "id")
     rows = rows.groupBy("id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).sort("id").toArrow()
-    return train([t or "" for t in rows.column("text").to_pylist()], rows.column("toxic").to_pylist())
+    return train(rows.column("text"), rows.column("toxic").to_pylist())
 
 
 def score(docs: DataFrame, model, text_col: str = "text", into: str = "toxicity_score") -> DataFrame:
