@@ -23,7 +23,8 @@ def counterfactual_prices(panel: DataFrame, by: Sequence[str] = ("year",)) -> Da
     """Price, quantity, revenue, profit, sales share and tax bill of each regime.
 
     perceived_sales_tax passes the rate on as if it were a sales tax, naive ignores it, optimal takes
-    the given price; sales_tax is a true sales tax with a producer and a consumer price.
+    the given optimal_price, optimal_quantity_consumed and optimal_state_revenue; sales_tax is a true
+    sales tax with a producer and a consumer price.
     """
     base = markup_price()
     gross = 1 + F.col("tax_rate") / F.col("epsilon")
@@ -34,7 +35,9 @@ def counterfactual_prices(panel: DataFrame, by: Sequence[str] = ("year",)) -> Da
         "sales_tax_consumer_price": base * gross,
     }
     out = panel.withColumns({"perceived_sales_tax_rate": gross, **prices})
-    out = out.withColumns({f"{r}_quantity": demand(f"{r}_price") for r in REGIMES}).withColumns({
+    out = out.withColumns({
+        **{f"{r}_quantity": demand(f"{r}_price") for r in REGIMES if r != "optimal"},
+        "optimal_quantity": F.col("optimal_quantity_consumed"),
         "sales_tax_quantity": demand("sales_tax_consumer_price"),
     })
     margin = {
@@ -43,7 +46,9 @@ def counterfactual_prices(panel: DataFrame, by: Sequence[str] = ("year",)) -> Da
     }
     out = out.withColumns({
         **margin,
-        **{f"{r}_revenue": F.col(f"{r}_price") * F.col(f"{r}_quantity") for r in REGIMES},
+        **{f"{r}_revenue": F.col(f"{r}_price") * F.col(f"{r}_quantity") for r in REGIMES
+           if r != "optimal"},
+        "optimal_revenue": F.col("optimal_state_revenue"),
         "sales_tax_profits": F.col("sales_tax_quantity")
         * (F.col("sales_tax_producer_price") - F.col("cost")),
     })

@@ -170,12 +170,16 @@ CTE |= {
                quantity / pow(price, -epsilon) AS kappa
         FROM firm_panel""",
     "solved": """
-        SELECT *, optimal_quantity_consumed AS optimal_quantity_produced,
+        SELECT *, optimal_quantity_consumed * (1 + 0.02::DOUBLE * (state % 3))
+                 AS optimal_quantity_produced,
                optimal_price * optimal_quantity_consumed AS optimal_state_revenue,
-               cost * optimal_quantity_consumed AS optimal_state_cost
+               cost * (1 + 0.05::DOUBLE * (state % 4)) * optimal_quantity_produced
+                 AS optimal_state_cost
         FROM (SELECT firm_id, state, year, epsilon, cost, tax_rate, kappa,
-                     epsilon / (epsilon - 1) * cost * (1 + tax_rate / epsilon) AS optimal_price,
-                     kappa * pow(optimal_price, -epsilon) AS optimal_quantity_consumed
+                     epsilon / (epsilon - 1) * cost * (1 + 0.8::DOUBLE * tax_rate / epsilon)
+                       AS optimal_price,
+                     kappa * pow(optimal_price, -epsilon)
+                       * (0.95::DOUBLE + 0.01::DOUBLE * (state % 5)) AS optimal_quantity_consumed
               FROM calibrated)""",
     "cf_base": """
         SELECT *, epsilon / (epsilon - 1) * cost AS naive_price,
@@ -183,11 +187,11 @@ CTE |= {
                  AS perceived_sales_tax_price,
                kappa * pow(naive_price, -epsilon) AS naive_quantity,
                kappa * pow(perceived_sales_tax_price, -epsilon) AS perceived_sales_tax_quantity,
-               kappa * pow(optimal_price, -epsilon) AS optimal_quantity,
+               optimal_quantity_consumed AS optimal_quantity,
                naive_price * naive_quantity AS naive_revenue,
                perceived_sales_tax_price * perceived_sales_tax_quantity
                  AS perceived_sales_tax_revenue,
-               optimal_price * optimal_quantity AS optimal_revenue,
+               optimal_state_revenue AS optimal_revenue,
                naive_quantity * (naive_price - cost) AS naive_state_profits,
                perceived_sales_tax_quantity * (perceived_sales_tax_price - cost)
                  AS perceived_sales_tax_state_profits,
@@ -597,7 +601,10 @@ SQL: dict[str, str] = {
         SELECT *, 'Country ' || state AS state_descr FROM prices
         UNION ALL
         SELECT * REPLACE (0 AS price_to_plot), 'Separate Accounting' FROM prices WHERE state = 1""",
-    "implied_price": "SELECT firm_id, state, year, optimal_price AS implied_price FROM solved",
+    "implied_price": """
+        SELECT firm_id, state, year,
+               pow(optimal_quantity_consumed / kappa, -1 / epsilon) AS implied_price
+        FROM solved""",
     "stage_round_trip": "SELECT * FROM sg",
     "apportioned_profit": """
         SELECT firm_id, year, sum(rate) AS apportioned_rate, avg(FA_tax_rate) AS naive_rate,

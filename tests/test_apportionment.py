@@ -20,7 +20,18 @@ def panel(spark):
     return spark.createDataFrame(
         rows, "firm_id long, year int, state int, tax_rate double, epsilon double, kappa double, "
         "cost double, optimal_price double"
-    )
+    ).withColumns({"optimal_quantity_consumed": 5.0 + F.col("state"),
+                   "optimal_state_revenue": F.lit(7.0) * F.col("state")})
+
+
+def test_the_optimal_regime_takes_the_given_columns(panel):
+    out = {r.state: r for r in apportionment.counterfactual_prices(panel).where("year = 0").collect()}
+    total = sum(7.0 * s for s, *_ in STATES)
+    profit = sum((5.0 + s) * (price - cost) for s, _, _, _, cost, price in STATES)
+    for s, t, _, _, cost, price in STATES:
+        assert math.isclose(out[s].optimal_quantity, 5.0 + s)
+        assert math.isclose(out[s].optimal_state_profits, (5.0 + s) * (price - cost))
+        assert math.isclose(out[s].optimal_state_tax_bill, 7.0 * s / total * t * profit)
 
 
 def test_counterfactuals_by_hand(panel):
@@ -67,6 +78,17 @@ def test_the_two_markups_agree_when_costs_are_uniform(spark):
         assert math.isclose(r.firm_weighted_markup, r.firm_markup)
 
 
+def test_the_two_markups_differ_with_costs_and_losses(spark):
+    df = spark.createDataFrame(
+        [(1, 0, 1, 3.0, 5.0, 6.0, 15.0, 12.0), (1, 0, 2, 2.5, 8.0, 8.0, 20.0, 4.0)],
+        "firm_id long, year int, state int, optimal_price double, optimal_quantity_consumed double, "
+        "optimal_quantity_produced double, optimal_state_revenue double, optimal_state_cost double",
+    )
+    for r in apportionment.markup_table(df).collect():
+        assert math.isclose(r.firm_markup, 35 / 16 - 1)
+        assert math.isclose(r.firm_weighted_markup, (0.5 * 5 + 4.0 * 8) / 13)
+
+
 FACTORS = "firm_id long, year int, state int, epsilon double, kappa double, cost double, " \
     "FA_tax_rate double, p double, q double, l double, k double, m double, rho double, wage double, " \
     "rental_rate double, alpha double, A double, Lbar double, sales_weight double, " \
