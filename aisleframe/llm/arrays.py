@@ -45,8 +45,23 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0]:at[-1]], at - at[0]
 
 
+def settle() -> None:
+    """Give freed memory back to the system, now and whenever a large array goes.
+
+    Workers serve one task after the other; without this each holds on to the most that any task took.
+    """
+    import ctypes
+
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 2 << 20)  # arrays from this size on are mapped on their own
+        libc.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the column holds at most so many bytes in each, or a single row."""
+    settle()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -56,6 +71,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterato
             stop = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)
             yield batch.slice(start, stop - start)
             start = stop
+    settle()
 
 
 def blocks(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:

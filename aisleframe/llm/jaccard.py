@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aisleframe.llm.arrays import Words, blocks, mix, utf8
+from aisleframe.llm.arrays import Words, blocks, mix, settle, utf8
 from aisleframe.llm.components import components
 from aisleframe.llm.spread import (
     bucket_count,
@@ -107,6 +107,7 @@ def _count(bits: int, buckets: int):
                         ("counts", pa.binary()), ("sets", pa.binary())])
 
     def run(key, table):
+        settle()
         part = key[0].as_py()
         rows = table.to_pylist()
         out = [{"bucket": r["bucket"], "docs": r["docs"], "sets": r["sets"]} for r in rows if r["sets"] is not None]
@@ -135,6 +136,7 @@ def _count(bits: int, buckets: int):
 
 def _sets(table: pa.Table) -> pa.Table:
     """One bucket: per document its digests and, if it can have a link, its shared shingles, rarest first."""
+    settle()
     rows = table.to_pylist()
     info = [r for r in rows if r["sets"] is not None]
     ids = np.concatenate([unplanes(r["docs"]) for r in info])
