@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aisleframe.llm.arrays import Words, blocks, mix, settle, utf8
+from aisleframe.llm.arrays import Words, blocks, mix, settle, slices, utf8
 from aisleframe.llm.components import components
 from aisleframe.llm.spread import (
     bucket_count,
@@ -35,7 +35,8 @@ from aisleframe.llm.spread import (
 )
 from aisleframe.sources.stages import stage_table
 
-BLOCK = 8 << 20
+#: Text bytes whose copies are looked for together, and whose shingles are made at a time.
+BLOCK, PIECE = 8 << 20, 1 << 20
 #: Rounds in which groups are held against one hub for each prefix shingle, before pairs are expanded.
 STARS = 2
 SHINGLE = 5
@@ -80,7 +81,13 @@ def _scatter(k: int, bits: int, buckets: int):
     def run(batches):
         for block in blocks(batches, "text", BLOCK):
             ids = block.column("doc_id").to_numpy(zero_copy_only=False)
-            rows, hashes = shingles(*utf8(block.column("text")), k)
+            rows, hashes, before = [], [], 0
+            for piece in slices([block], "text", PIECE):
+                r, h = shingles(*utf8(piece.column("text")), k)
+                rows.append(r + before)
+                hashes.append(h)
+                before += piece.num_rows
+            rows, hashes = np.concatenate(rows), np.concatenate(hashes)
             sets = set_digests(rows, hashes, len(ids))
             order = np.lexsort((ids, sets[:, 2], sets[:, 1], sets[:, 0]))
             first = np.ones(len(order), bool)
