@@ -2,7 +2,7 @@
 
 The patterns give email, ip, card and phone. The field labels words by their shape and that of their
 neighbours; it finds phones without a plus sign, spelled-out addresses and secrets. It is trained from the
-labelled lines below and decoded by Viterbi on all stretches of a batch at once.
+labelled lines below and decoded by Viterbi over all words of every text, the texts of a batch at once.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from aisleframe.llm.arrays import Words, slices, utf8
+from aisleframe.llm.arrays import CHUNK, Words, slices, utf8
 
 PIECE = 2 << 20
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -31,6 +31,26 @@ NUMBERS = (
 TABLE = """
 write to [email:jane dot doe at mail dot example dot com] for details
 contact [email:max at example dot org] or call us
+contact [email:max at example org] or call us
+[email:max at example org]
+[email:joe (at) example.org]
+[email:jane [at] example.com]
+write to [email:ann (at) example.com] or call
+mail [email:tom [at] example.net] now
+ask [email:eve.ray (at) mail.example.com] about it
+send [email:lee [at] example org] a line
+[email:kim at example.org]
+mail [email:bob at example.net] soon
+or write to [email:jane at mail dot example dot com] for help
+reach [email:ann at mail dot example dot org] now
+they came at 10.30 and left at noon.
+we ate. At home it was cold. At night it rained
+it is at at at the end and at that
+one of them at on and at under. Or
+looking at example text and at other words
+a look at it or at them or at us
+the (at) sign in the text
+meet at the house at the lake at noon
 my address is [email:sam.lee at example dot com] thanks
 send it to [email:info (at) example (dot) net] today
 mail [email:kim [at] example [dot] org] please
@@ -73,9 +93,11 @@ paid by [card:4041 8949 7460 8795 12] yesterday
 the sum of 12 34 56 and 78 is written
 """
 WORD_LISTS = (("at", "(at)", "[at]"), ("dot", "(dot)", "[dot]"), ("call", "phone", "tel", "fax", "mobile", "ring", "number"),
-              ("email", "mail", "contact", "address", "write"), ("token", "password", "secret", "key", "api_key"))
-#: Words on either side of a telling one that are decoded with it; training steps and their size.
-REACH, STEPS, RATE = 6, 200, 0.15
+              ("email", "mail", "contact", "address", "write"), ("token", "password", "secret", "key", "api_key"),
+              ("(at)", "[at]"), ("org", "com", "net", "edu", "gov", "info"),
+              ("to", "is", "the", "a", "of", "and", "or", "on", "in", "it", "was", "for", "ask", "send", "from", "with"))
+#: Training steps and their size.
+STEPS, RATE = 200, 0.15
 PUNCT = ".,;:!?\"')]}[({"
 
 
@@ -146,6 +168,8 @@ class Field:
         digit = count((letters >= 48) & (letters < 58))
         upper = count((letters >= 65) & (letters < 91))
         lower = count((letters >= 97) & (letters < 123))
+        inner = letters == ord(".")
+        inner[begin + size - 1] = False
         sign = {c: count(letters == ord(c)) for c in "@=-.:(\"_,"}
         first = words.data[start]
         lists = [np.isin(hashes[chosen], known) for known in self.known]
@@ -153,7 +177,8 @@ class Field:
         rows = [np.ones(len(chosen)), (digit > 0) & (digit < 3), digit == 3, digit == 4, (digit > 4) & (digit < 9), digit > 8,
                 (digit > 0) & (upper + lower == 0), sign["@"] > 0, sign["="] > 0, sign["-"] > 0, sign["-"] == 2,
                 sign["."] > 1, sign[":"] > 2, sign["("] > 0, sign['"'] > 0, sign["_"] > 0, sign[","] > 0, mixed,
-                mixed & (upper > 6), mixed & (lower > 2) & (digit > 3), size >= 12, size >= 24, first == ord("0"), *lists]
+                mixed & (upper > 6), mixed & (lower > 2) & (digit > 3), size >= 12, size >= 24, first == ord("0"),
+                (count(inner) > 0) & (digit == 0), *lists]
         return np.stack(rows, axis=1).astype(np.float32)
 
     def context(self, x: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -165,23 +190,20 @@ class Field:
         return np.hstack([x, before, after])
 
     def decode(self, emit: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Most likely labels of stretches laid end to end, all stretches a step at a time."""
-        out = np.zeros(len(emit), np.int64)
+        """Most likely labels of texts laid end to end, all texts a step at a time."""
+        best = emit.T.copy()
         order = np.argsort(-size, kind="stable")
         begin, size = begin[order], size[order]
-        best = emit[begin].copy()
-        back = []
-        for t in range(1, int(size.max()) if len(size) else 0):
-            live = int(np.searchsorted(-size, -t, "left"))  # stretches longer than t come first
-            paths = best[:live, :, None] + self.steps[None]
-            back.append(paths.argmax(axis=1))
-            best[:live] = paths.max(axis=1) + emit[begin[:live] + t]
-        label = best.argmax(axis=1) if len(size) else np.zeros(0, np.int64)
-        out[begin + size - 1] = label
-        for t in range(len(back), 0, -1):
-            live = len(back[t - 1])
-            label[:live] = back[t - 1][np.arange(live), label[:live]]
-            out[begin[:live] + t - 1] = label[:live]
+        most = int(size.max()) if len(size) else 0
+        live = np.searchsorted(-size, -np.arange(most + 1), "left")  # texts longer than t come first
+        for t in range(1, most):
+            at = begin[:live[t]] + t
+            best[:, at] += (best[:, None, at - 1] + self.steps[:, :, None]).max(axis=0)
+        out = np.zeros(len(emit), np.int64)
+        out[begin + size - 1] = best[:, begin + size - 1].argmax(axis=0)
+        for t in range(most - 1, 0, -1):
+            at = begin[:live[t]] + t
+            out[at - 1] = (best[:, at - 1] + self.steps[:, out[at]]).argmax(axis=0)
         return out
 
 
@@ -217,44 +239,48 @@ def _holds(kind: str, found: str) -> bool:
 
 
 def _added(field: Field, words: Words, hashes: np.ndarray):
-    """(row, kind number, byte from, byte to) of the field's spans in a batch."""
+    """(row, kind number, byte from, byte to) of the field's spans in a batch, all words of which are decoded."""
     n = len(words.starts)
-    data = words.data
-    hot = (data >= 48) & (data < 58) | (data == 64) | (data == 61)
-    words_hot = np.zeros(n, bool)
-    words_hot[np.searchsorted(words.starts, np.flatnonzero(hot), "right") - 1] = True
-    words_hot |= np.isin(hashes, field.known[1])
-    if not words_hot.any():
+    if not n:
         return []
-    near = np.flatnonzero(words_hot)
     row = words.rows()
-    take = np.zeros(n + 1, np.int64)
-    np.add.at(take, np.maximum(near - REACH, words.first[row[near]]), 1)
-    np.add.at(take, np.minimum(near + REACH + 1, words.first[row[near] + 1]), -1)
-    chosen = np.flatnonzero(np.cumsum(take)[:n] > 0)
-    opens = np.ones(len(chosen), bool)
-    opens[1:] = (np.diff(chosen) > 1) | (row[chosen[1:]] != row[chosen[:-1]])
-    begin = np.flatnonzero(opens)
-    size = np.diff([*begin, len(chosen)])
-    x = field.context(field.shapes(words, hashes, chosen), np.cumsum(opens))
-    labels = field.decode(x @ field.weights, begin, size)
+    _, kind, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    alone = np.empty((len(kind), 3 * len(LABELS)))  # weights of a word for itself, the next word and the one before
+    for a in range(0, len(kind), CHUNK):
+        x = field.shapes(words, hashes, kind[a:a + CHUNK])
+        alone[a:a + CHUNK] = x @ np.hstack(np.split(field.weights, 3))
+    emit, onward, back = (part[which] for part in np.split(alone, 3, axis=1))
+    same = (row[1:] == row[:-1])[:, None]
+    emit[1:] += onward[:-1] * same
+    emit[:-1] += back[1:] * same
+    del onward, back
+    some = words.counts > 0
+    begin = words.first[:-1][some]
+    labels = field.decode(emit, begin, words.counts[some])
     found = []
-    edge = np.ones(len(chosen), bool)
-    edge[1:] = opens[1:] | (labels[1:] != labels[:-1])
+    edge = np.ones(n, bool)
+    edge[1:] = labels[1:] != labels[:-1]
+    edge[begin] = True
     first = np.flatnonzero(edge)
-    last = np.concatenate([first[1:], [len(chosen)]]) - 1
+    last = np.concatenate([first[1:], [n]]) - 1
     for a, b in zip(first[labels[first] > 0], last[labels[first] > 0], strict=True):
-        found.append((int(row[chosen[a]]), int(labels[a]) - 1, int(words.starts[chosen[a]]), int(words.ends[chosen[b]])))
+        found.append((int(row[a]), int(labels[a]) - 1, int(words.starts[a]), int(words.ends[b])))
     return found
 
 
 def _plausible(kind: str, found: str) -> bool:
-    """Whether a span of the field can be what it says: a card passes its check sum, a phone has a sign."""
+    """Whether a span of the field can be what it says.
+
+    A card passes its check sum, a phone has a sign, an address has an at with a word on either side.
+    """
     digits = "".join(c for c in found if "0" <= c <= "9")
     if kind == "card":
         return _holds("card", digits)
     if kind == "phone":
         return 7 <= len(digits) <= 15 and len(digits) < len(found)
+    if kind == "email" and "@" not in found:
+        at = [w.lower() in WORD_LISTS[0] for w in found.split()]
+        return any(y and not x and not z for x, y, z in zip(at, at[1:], at[2:], strict=False))
     return len(found) >= 6
 
 
