@@ -1,7 +1,8 @@
 """Toxicity by a subsequence string kernel with Nystroem landmarks.
 
-The kernel compares words by their gapped letter triples (a triple over more letters weighs less), so that
-an insult with other characters between its letters stays close to the plain one. A support vector machine
+The kernel compares words by their gapped letter triples (any gap; a triple over more places weighs less), so
+that an insult with other characters between its letters stays close to the plain one. Neighbouring words of
+one or two letters are read as one word too, so that white space counts as a gap there. A support vector machine
 over the Nystroem map of word kernels tells insulting words: those that labelled toxic texts hold far more
 often than chance, against words of clean texts, the hardest of which are added in rounds. A text is scored by its strongest words and their share.
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from aisleframe.llm.arrays import LOWER, Words, slices, utf8
+from aisleframe.llm.arrays import LOWER, Words, runs, slices, utf8
 
 PIECE = 2 << 20
 #: Labelled texts of each class to train on; landmarks (spread by pivoted Cholesky); decay of a triple for each letter it skips.
@@ -34,19 +35,54 @@ SIGNS = np.zeros(256, np.int64)
 SIGNS[97:123] = np.arange(1, 27)
 SIGNS[128:192] = 27 + (np.arange(64) & 31)
 START, SIZE = 59, 60
-OFFSETS = [(a, b) for b in (2, 3, 4) for a in range(1, b)]
+#: Letters up to which a unit's triples are listed; those of longer units are summed by recursion.
+LISTED = 24
+#: Neighbouring words of so few letters are also read as one, in windows of so many words and all together.
+SHORT, JOINED = 2, 12
+#: Joined windows that are spelled at a time.
+SPELLED = 1 << 11
 
 
 def triples(signs: np.ndarray, begin: np.ndarray, size: np.ndarray):
-    """Yield (word, triple, weight) arrays for each spacing; words lie end to end in signs."""
-    word = np.repeat(np.arange(len(begin)), size)
-    for a, b in OFFSETS:
-        n = len(signs) - b
-        if n <= 0:
-            return
-        x, y, z = signs[:n], signs[a:n + a], signs[b:]
-        i = np.flatnonzero((word[:n] == word[b:]) & (x > 0) & (y > 0) & (z > 0))
-        yield word[i], (x[i] * SIZE + y[i]) * SIZE + z[i], DECAY ** (b - 2)
+    """Yield (word, triple, weight, summed squares) arrays; words lie end to end in signs.
+
+    A triple is any three letters of a word in their order; it weighs DECAY for each place it skips, gaps
+    included.
+    """
+    place = np.flatnonzero(signs > 0)
+    letters, word = signs[place], np.repeat(np.arange(len(begin)), size)[place]
+    count = np.bincount(word, minlength=len(begin))
+    few = count[word] <= LISTED
+    x, w, at = letters[few], word[few], place[few]
+    for b in range(2, int(count[count <= LISTED].max(initial=0))):
+        i = np.flatnonzero(w[:-b] == w[b:])
+        weight = DECAY ** (at[i + b] - at[i] - 2.0)
+        for a in range(1, b):
+            yield w[i], (x[i] * SIZE + x[i + a]) * SIZE + x[i + b], weight, weight ** 2
+    first = np.cumsum(count) - count
+    for k in np.flatnonzero(count > LISTED):
+        code, weight, squares = _summed(letters[first[k]:first[k] + count[k]], place[first[k]:first[k] + count[k]])
+        yield np.full(len(code), k), code, weight, np.where(np.arange(len(code)) == 0, squares, 0.0)
+
+
+def _summed(letters: np.ndarray, place: np.ndarray):
+    """Triples of one long unit with their summed weights, and the sum of squared weights of all triples."""
+    one, two, three = np.zeros(SIZE), np.zeros((SIZE, SIZE)), np.zeros((SIZE,) * 3)
+    sums = [0.0, 0.0, 0.0]  # the same for squares, whatever the letters
+    steps = np.diff(place, prepend=place[0]).tolist()
+    for z, step in zip(letters.tolist(), steps, strict=True):
+        fade = DECAY ** step
+        one *= fade
+        two *= fade
+        three[z] += two
+        two[:, z] += one
+        one[z] += 1
+        sums[2] += sums[1] * fade ** 2
+        sums[1] = (sums[1] + sums[0]) * fade ** 2
+        sums[0] = sums[0] * fade ** 2 + 1
+    # three has the last letter first
+    x, y, z = np.nonzero(three.transpose(1, 2, 0))
+    return (x * SIZE + y) * SIZE + z, three[z, x, y] / DECAY ** 2, sums[2] / DECAY ** 4
 
 
 def spelled(words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,28 +98,42 @@ def spelled(words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def folded(table: np.ndarray, signs, begin, size) -> np.ndarray:
     """Per word: its triples' weights in the table, over the norm of its triples."""
     total, norm = np.zeros(len(begin)), np.zeros(len(begin))
-    for word, code, weight in triples(signs, begin, size):
+    for word, code, weight, square in triples(signs, begin, size):
         total += np.bincount(word, weights=table[code] * weight, minlength=len(begin))
-        norm += np.bincount(word, minlength=len(begin)) * weight ** 2
-    return total / np.sqrt(np.maximum(norm, 1e-9))
+        norm += np.bincount(word, weights=square, minlength=len(begin))
+    return total / np.sqrt(np.where(norm > 0, norm, 1))
+
+
+def folded_exactly(table: np.ndarray, signs, begin, size) -> np.ndarray:
+    """The same with equal triples of a word summed before the norm, as short words often repeat."""
+    found = [(word, code, weight) for word, code, weight, _ in triples(signs, begin, size)]
+    if not found:
+        return np.zeros(len(begin))
+    word, code, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+    key, which = np.unique(word * SIZE ** 3 + code, return_inverse=True)
+    weight = np.bincount(which, weights=weight)
+    word, code = np.divmod(key, SIZE ** 3)
+    total = np.bincount(word, weights=table[code] * weight, minlength=len(begin))
+    norm = np.bincount(word, weights=weight ** 2, minlength=len(begin))
+    return total / np.sqrt(np.where(norm > 0, norm, 1))
 
 
 def matrix(spelling, codes: np.ndarray) -> np.ndarray:
     """Normalised triple vectors of words, in the columns that codes (sorted) name."""
     signs, begin, size = spelling
     out, norm = np.zeros((len(begin), len(codes)), np.float32), np.zeros(len(begin))
-    for word, code, weight in triples(signs, begin, size):
-        norm += np.bincount(word, minlength=len(begin)) * weight ** 2
+    for word, code, weight, square in triples(signs, begin, size):
+        norm += np.bincount(word, weights=square, minlength=len(begin))
         at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
         known = codes[at] == code
-        np.add.at(out, (word[known], at[known]), np.float32(weight))
-    out /= np.sqrt(np.maximum(norm, 1e-9))[:, None].astype(np.float32)
+        np.add.at(out, (word[known], at[known]), weight[known].astype(np.float32))
+    out /= np.sqrt(np.where(norm > 0, norm, 1))[:, None].astype(np.float32)
     return out
 
 
 def kernel_of(spelling) -> np.ndarray:
     """Kernel of all pairs of the words, summed over blocks of triples."""
-    codes = np.unique(np.concatenate([code for _, code, _ in triples(*spelling)]))
+    codes = np.unique(np.concatenate([code for _, code, _, _ in triples(*spelling)]))
     total = np.zeros((len(spelling[1]),) * 2)
     for a in range(0, len(codes), COLUMNS):
         block = matrix(spelling, codes[a:a + COLUMNS])
@@ -141,22 +191,65 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def features(words: Words, score: np.ndarray) -> np.ndarray:
+def joined(table: np.ndarray, words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, score) of each run of neighbouring short words: its best window, or all of it, read as one word."""
+    letters = np.concatenate([[0], np.cumsum(SIGNS[words.data] > 0)])
+    start, stop = runs(letters[words.ends] - letters[words.starts] <= SHORT, words.first)
+    wide = (stop - start > 1) & (letters[words.ends[stop - 1]] - letters[words.starts[start]] > 2)
+    start, stop = start[wide], stop[wide]
+    best = np.full(len(start), -np.inf)
+    if not len(start):
+        return np.zeros(0, np.int64), best
+    row = np.searchsorted(words.first, start, "right") - 1
+    for n in range(2, min(JOINED, int((stop - start).max())) + 1):
+        some = np.flatnonzero(stop - start >= n)
+        run = np.repeat(some, (stop - start)[some] - n + 1)
+        from_ = _counted(start[some], (stop - start)[some] - n + 1)
+        code, where = words.windows(hashes, n)
+        code = code[np.searchsorted(where, from_)]
+        _, first, which = np.unique(code, return_index=True, return_inverse=True)
+        got = _joined(table, words, from_[first], np.full(len(first), n))
+        np.maximum.at(best, run, got[which])
+    more = np.flatnonzero(stop - start > JOINED)
+    best[more] = np.maximum(best[more], _joined(table, words, start[more], (stop - start)[more]))
+    return row, best
+
+
+def _counted(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each, count numbers long."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+
+
+def _joined(table: np.ndarray, words: Words, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Scores of count words from start on, read as one word with a gap between them."""
+    out = np.zeros(len(start))
+    for a in range(0, len(start), SPELLED):
+        own = count[a:a + SPELLED]
+        signs, begin, size = spelled(words, _counted(start[a:a + SPELLED], own))
+        head = np.cumsum(own) - own
+        signs[np.delete(begin, head)] = 0
+        out[a:a + SPELLED] = folded_exactly(table, signs, begin[head], np.add.reduceat(size, head))
+    return out
+
+
+def features(n: int, row: np.ndarray, score: np.ndarray) -> np.ndarray:
     """Per text: strongest word, mean over words of what exceeds zero, numbers of words above 0 and 0.5."""
-    n = len(words.first) - 1
     out = np.zeros((n, 4))
-    out[:, 0] = -3.0
-    some = words.counts > 0
-    begin = words.first[:-1][some]
-    if len(begin):
-        high = np.maximum(score, 0)
-        out[some, 0] = np.clip(np.maximum.reduceat(score, begin), -3, 3)
-        out[some, 1] = np.minimum(np.add.reduceat(high, begin), 20) / 10
-        out[some, 2] = np.log1p(np.add.reduceat((score > 0).astype(float), begin))
-        out[some, 3] = np.log1p(np.add.reduceat((score > 0.5).astype(float), begin))
+    out[:, 0] = -np.inf
+    np.maximum.at(out[:, 0], row, score)
+    out[:, 0] = np.clip(out[:, 0], -3, 3)
+    out[:, 1] = np.minimum(np.bincount(row, weights=np.maximum(score, 0), minlength=n), 20) / 10
+    out[:, 2] = np.log1p(np.bincount(row[score > 0], minlength=n))
+    out[:, 3] = np.log1p(np.bincount(row[score > 0.5], minlength=n))
     return out
 
 
+def read(table: np.ndarray, bias: float, words: Words, score: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Features of the texts, given the scores of their words; runs of short words count as words too."""
+    row, more = joined(table, words, hashes)
+    return features(len(words.first) - 1, np.concatenate([words.rows(), row]), np.concatenate([score, more + bias]))
+
+
 def train(texts: pa.Array | pa.ChunkedArray, toxic: list[int]) -> tuple[np.ndarray, float, np.ndarray]:
     """(triple weights, word bias, text weights) from labelled texts; without both classes, all scores are 0."""
     y = np.array(toxic)
@@ -164,7 +257,8 @@ def train(texts: pa.Array | pa.ChunkedArray, toxic: list[int]) -> tuple[np.ndarr
     if not 0 < y.sum() < len(y):
         return table, bias, np.array([0, 0, 0, 0, -40.0])
     words = Words(*utf8(texts), lower=True)
-    kind, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    hashes = words.hashes()
+    kind, first, which = np.unique(hashes, return_index=True, return_inverse=True)
     which = which.astype(np.int32)
     seen = np.unique(which * np.int64(len(texts)) + words.rows())
     in_toxic = np.bincount(seen // len(texts), weights=y[seen % len(texts)], minlength=len(kind))
@@ -196,7 +290,7 @@ def train(texts: pa.Array | pa.ChunkedArray, toxic: list[int]) -> tuple[np.ndarr
     pool = np.concatenate([positive[:LANDMARKS], usual[:LANDMARKS // 2],
                            draw.choice(negative, min(LANDMARKS // 2, len(negative)), replace=False)])
     chosen = pool[spread_out(kernel_of(part(pool)), LANDMARKS)]
-    codes = np.unique(np.concatenate([code for _, code, _ in triples(*part(chosen))]))
+    codes = np.unique(np.concatenate([code for _, code, _, _ in triples(*part(chosen))]))
     marks = matrix(part(chosen), codes)
     values, turned = np.linalg.eigh((marks @ marks.T).astype(float))
     root = turned / np.sqrt(np.maximum(values, 1e-6)) @ turned.T
@@ -218,7 +312,7 @@ def train(texts: pa.Array | pa.ChunkedArray, toxic: list[int]) -> tuple[np.ndarr
         score = folded(table, *spelling) + bias
         if turn < ROUNDS - 1:  # words of clean texts that look insulting become examples against it
             negative = np.union1d(negative, clean[np.argsort(-score[clean], kind="stable")[:MOST]])
-    return table, bias, logistic(features(words, score[which]), y)
+    return table, bias, logistic(read(table, bias, words, score[which], hashes), y)
 
 
 def _scored(model, column: str, schema):
@@ -227,9 +321,10 @@ def _scored(model, column: str, schema):
     def run(batches):
         for batch in slices(batches, column, PIECE):
             words = Words(*utf8(batch.column(column)), lower=True)
-            _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+            hashes = words.hashes()
+            _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
             score = folded(table, *spelled(words, first))[which] + bias if len(which) else np.zeros(0)
-            x = features(words, score)
+            x = read(table, bias, words, score, hashes)
             p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -40, 40)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=schema)
 

@@ -253,6 +253,39 @@ def test_toxicity_tolerates_gaps(spark):
     assert got[1000] >= 0.5 > got[1001] == got[1002]
 
 
+def test_triples_span_any_gap():
+    from itertools import combinations
+
+    spellings = ["i--d--i--o--t", "m", "no", "x" * 30, "".join(VOCAB[:8])[:37], "a.....................b.........................c"]
+    words = toxicity.Words(*toxicity.utf8(toxicity.pa.array(spellings)))
+    signs, begin, size = toxicity.spelled(words, np.arange(len(spellings)))
+    got, squares = [{} for _ in spellings], np.zeros(len(spellings))
+    for word, code, weight, square in toxicity.triples(signs, begin, size):
+        np.add.at(squares, word, square)
+        for w, c, v in zip(word.tolist(), code.tolist(), weight.tolist(), strict=True):
+            got[w][c] = got[w].get(c, 0) + v
+    for w, (b, n) in enumerate(zip(begin, size, strict=True)):
+        want, total = {}, 0.0
+        for i, j, k in combinations([i for i in range(n) if signs[b + i]], 3):
+            c = (signs[b + i] * toxicity.SIZE + signs[b + j]) * toxicity.SIZE + signs[b + k]
+            want[c] = want.get(c, 0) + toxicity.DECAY ** (k - i - 2)
+            total += toxicity.DECAY ** (2 * (k - i - 2))
+        assert got[w] == pytest.approx(want) and squares[w] == pytest.approx(total)
+
+
+def test_toxicity_tolerates_spaces_and_signs(spark):
+    bad = ["grumbolt", "snivelork"]
+    rows = [(i, " ".join([*prose(20).split(), *([bad[i % 2]] * (i % 3 == 0)), *prose(20).split()])) for i in range(300)]
+    hidden = ["g r u m b o l t", "s n i v e l o r k", "g--r--u--m--b--o--l--t", "s...n...i...v...e...l...o...r...k", "G R  U M B O L T",
+              "gr um bo lt", "g - r - u - m - b - o - l - t"]
+    plain = ["a b c d e f", "it is on to us", "w--o--r--d--s", "t h e e n d", ""]
+    rows += [(1000 + i, f"{prose(15)} {t} {prose(15)}") for i, t in enumerate(hidden + plain)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int"))
+    got = {r.doc_id: r.s for r in toxicity.score(docs, model, into="s").collect()}
+    assert [got[1000 + i] >= 0.5 for i in range(len(hidden + plain))] == [True] * len(hidden) + [False] * len(plain)
+
+
 def test_minimum_cut():
     from itertools import product
 
