@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from aisleframe.llm import archive, personal, toxicity
+from aisleframe.llm.conversations import repair
 from aisleframe.llm.decontamination import contaminated
+from aisleframe.llm.fingerprints import fingerprints
 from aisleframe.llm.jaccard import similar_sets
 from aisleframe.llm.packing import pack
 from aisleframe.llm.pages import extract
 from aisleframe.llm.quality import quality
+from aisleframe.llm.spelling import spelling_variants
 from aisleframe.llm.suffixes import remove_repeated_bytes
 from aisleframe.llm.windows import remove_repeated_windows
 from aisleframe.sources.stages import shared_dir
@@ -87,8 +90,21 @@ def op10_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.read_index(spark, folder)
 
 
+def op11_edit_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(_table(spark, sf_dir, "conversations"))
+
+
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op13_gram_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_spaced_seeds, op2_grouped_prefix_join, op3_line_frequency, op4_minimum_cut, op5_suffix_arrays,
     op6_lexical_packing, op7_random_field, op8_string_kernel,
-    op9_repeated_windows, op10_archive)}
+    op9_repeated_windows, op10_archive, op11_edit_lattice, op12_order_minhash,
+    op13_gram_blocks)}
 QUERIES["pipeline"] = corpus_pipeline.run

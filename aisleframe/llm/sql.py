@@ -80,3 +80,40 @@ SELECT doc_id, item_id, count(DISTINCT i) AS n_hits, max(n)::BIGINT AS n_equal F
 GROUP BY doc_id, item_id
 """
 SQL["op1_spaced_seeds"] = SEEDS
+
+#: Table t of the checksum's 256 steps, made from its polynomial.
+_CRC_TABLE = """SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+  FROM (SELECT unnest(range(256)) AS b))"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned checksum of a text's UTF-8 bytes, by the table t."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return (f"xor(list_reduce(list_prepend(4294967295, {octets}), "
+            "lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295)")
+
+
+SPELLING = rf"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]{{6,}}')),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+kinds AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run),
+hashed AS (SELECT run, n, {_crc32("concat(doc_id, ':', run)")} AS h FROM kinds, crc),
+words AS (SELECT CASE WHEN h % 199 = 0 THEN run[:h % len(run)] || run[h % len(run) + 2:] ELSE run END AS word, n
+          FROM hashed),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM words WHERE len(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS (SELECT word, k, word[:k] || word[k+2:] AS rest FROM (SELECT word, unnest(range(len(word))) AS k FROM v)),
+pairs AS (SELECT a.word, b.word AS near FROM less a JOIN less b USING (k, rest) WHERE a.word <> b.word
+          UNION SELECT less.word, rest FROM less JOIN v ON rest = v.word
+          UNION SELECT rest, less.word FROM less JOIN v ON rest = v.word),
+best AS (SELECT pairs.word, count(*) AS n_near, arg_min(near, (-n, near)) AS near, max(n) AS near_n
+         FROM pairs JOIN v ON near = v.word GROUP BY pairs.word),
+found AS (SELECT v.word, CASE WHEN near_n >= 5 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near,
+                 CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM v LEFT JOIN best USING (word)),
+paths AS (SELECT word, word AS root FROM found
+          UNION ALL SELECT paths.word, found.form FROM paths JOIN found ON root = found.word WHERE form IS NOT NULL),
+roots AS (SELECT paths.word, root FROM paths JOIN found ON root = found.word WHERE found.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM found JOIN roots USING (word)
+"""
+SQL["op13_gram_blocks"] = SPELLING
