@@ -49,8 +49,13 @@ def settle() -> None:
     """Give freed memory back to the system, now and whenever a large array goes.
 
     Workers serve one task after the other; without this each holds on to the most that any task took.
+    A task's functions arrive with the tables they use (weights, vocabularies) and refer to each other in
+    circles, so that what the tasks before left is only freed by the collector.
     """
     import ctypes
+    import gc
+
+    gc.collect()
 
     libc = ctypes.CDLL(None)
     if hasattr(libc, "mallopt"):

@@ -249,11 +249,13 @@ def _added(field: Field, words: Words, hashes: np.ndarray):
     for a in range(0, len(kind), CHUNK):
         x = field.shapes(words, hashes, kind[a:a + CHUNK])
         alone[a:a + CHUNK] = x @ np.hstack(np.split(field.weights, 3))
-    emit, onward, back = (part[which] for part in np.split(alone, 3, axis=1))
-    same = (row[1:] == row[:-1])[:, None]
-    emit[1:] += onward[:-1] * same
-    emit[:-1] += back[1:] * same
-    del onward, back
+    emit, onward, back = np.split(alone, 3, axis=1)
+    emit = emit[which]
+    for a in range(0, n - 1, CHUNK):
+        ahead, behind = slice(a + 1, min(a + CHUNK, n - 1) + 1), slice(a, min(a + CHUNK, n - 1))
+        same = (row[ahead] == row[behind])[:, None]
+        emit[ahead] += onward[which[behind]] * same
+        emit[behind] += back[which[ahead]] * same
     some = words.counts > 0
     begin = words.first[:-1][some]
     labels = field.decode(emit, begin, words.counts[some])

@@ -7,8 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from aisleframe.llm import archive, personal, toxicity
+from aisleframe.llm import archive, personal, pipeline, toxicity
 from aisleframe.llm.conversations import repair
 from aisleframe.llm.decontamination import contaminated
 from aisleframe.llm.fingerprints import fingerprints
@@ -107,4 +106,4 @@ QUERIES = {f.__name__: f for f in (
     op6_lexical_packing, op7_random_field, op8_string_kernel,
     op9_repeated_windows, op10_archive, op11_edit_lattice, op12_order_minhash,
     op13_gram_blocks)}
-QUERIES["pipeline"] = corpus_pipeline.run
+QUERIES["pipeline"] = pipeline.run

@@ -176,6 +176,18 @@ def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float, steps:
     return w
 
 
+def rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic weights of which none but the bias is negative: a column that gets one is left out."""
+    used = np.arange(x.shape[1])
+    while True:
+        w = logistic(x[:, used], y)
+        if not len(used) or w[:-1].min() >= 0:
+            out = np.zeros(x.shape[1] + 1)
+            out[used], out[-1] = w[:-1], w[-1]
+            return out
+        used = np.delete(used, w[:-1].argmin())
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Ridge logistic weights, the last is the bias; classes weigh alike."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -233,11 +245,14 @@ def _joined(table: np.ndarray, words: Words, start: np.ndarray, count: np.ndarra
 
 
 def features(n: int, row: np.ndarray, score: np.ndarray) -> np.ndarray:
-    """Per text: strongest word, mean over words of what exceeds zero, numbers of words above 0 and 0.5."""
+    """Per text: strongest word, sum of what exceeds zero, numbers of words above 0 and 0.5.
+
+    Words below zero count as nothing, so that a text in which nothing is found has zeros, however short it
+    is, and another word never lowers a value.
+    """
     out = np.zeros((n, 4))
-    out[:, 0] = -np.inf
     np.maximum.at(out[:, 0], row, score)
-    out[:, 0] = np.clip(out[:, 0], -3, 3)
+    out[:, 0] = np.minimum(out[:, 0], 3)
     out[:, 1] = np.minimum(np.bincount(row, weights=np.maximum(score, 0), minlength=n), 20) / 10
     out[:, 2] = np.log1p(np.bincount(row[score > 0], minlength=n))
     out[:, 3] = np.log1p(np.bincount(row[score > 0.5], minlength=n))
@@ -312,7 +327,7 @@ def train(texts: pa.Array | pa.ChunkedArray, toxic: list[int]) -> tuple[np.ndarr
         score = folded(table, *spelling) + bias
         if turn < ROUNDS - 1:  # words of clean texts that look insulting become examples against it
             negative = np.union1d(negative, clean[np.argsort(-score[clean], kind="stable")[:MOST]])
-    return table, bias, logistic(read(table, bias, words, score[which], hashes), y)
+    return table, bias, rising(read(table, bias, words, score[which], hashes), y)
 
 
 def _scored(model, column: str, schema):

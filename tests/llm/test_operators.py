@@ -322,3 +322,17 @@ def test_archive(spark, tmp_path):
     records = {r.page_id: r for r in archive.read_records(spark, str(tmp_path)).collect()}
     assert bytes(records[1].payload).decode() == big and bytes(records[3].record).endswith(big.encode() + b"\r\n\r\n")
     assert b"WARC-Refers-To: <urn:x-page:3>" in bytes(records[1].record)
+
+
+def test_toxicity_of_short_texts(spark):
+    """Nothing found scores under a half, and another insult never lowers a score."""
+    texts = [f"{prose(30)} grumbolt {prose(30)} wretchgit" for _ in range(60)] + [prose(60) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(140)] * 2, "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    small = ["", None, "a", "42", "...", " \n", "grumbolt", "grumbolt grumbolt", "grumbolt grumbolt wretchgit", prose(20)]
+    frame = spark.createDataFrame(list(enumerate(small)), "i int, text string")
+    score = {r["i"]: r["s"] for r in toxicity.score(frame, model, into="s").collect()}
+    assert all(score[i] < 0.5 for i in (0, 1, 2, 3, 4, 5, 9))
+    assert 0.5 < score[6] <= score[7] <= score[8]
+    assert toxicity.score(frame.where("i > 99"), model, into="s").count() == 0
