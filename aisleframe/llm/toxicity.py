@@ -28,6 +28,8 @@ LANDMARKS = 900
 MOST = 1500
 DECAY = 0.6
 ROUNDS = 5
+#: Score of a word up to which it is no sign of toxicity at all.
+FLOOR = -2.0
 #: Triples, and words, whose dense vectors are held at a time.
 COLUMNS, ROWS = 4096, 250
 #: Letters: a-z, and the last byte of other characters; any other byte is a gap. START opens a word.
@@ -247,12 +249,12 @@ def _joined(table: np.ndarray, words: Words, start: np.ndarray, count: np.ndarra
 def features(n: int, row: np.ndarray, score: np.ndarray) -> np.ndarray:
     """Per text: strongest word, sum of what exceeds zero, numbers of words above 0 and 0.5.
 
-    Words below zero count as nothing, so that a text in which nothing is found has zeros, however short it
-    is, and another word never lowers a value.
+    The strongest word counts from FLOOR on, the others from zero on. A text without words has zeros, and another
+    word never lowers a value.
     """
     out = np.zeros((n, 4))
-    np.maximum.at(out[:, 0], row, score)
-    out[:, 0] = np.minimum(out[:, 0], 3)
+    np.maximum.at(out[:, 0], row, score - FLOOR)
+    out[:, 0] = np.minimum(out[:, 0], 3 - FLOOR)
     out[:, 1] = np.minimum(np.bincount(row, weights=np.maximum(score, 0), minlength=n), 20) / 10
     out[:, 2] = np.log1p(np.bincount(row[score > 0], minlength=n))
     out[:, 3] = np.log1p(np.bincount(row[score > 0.5], minlength=n))
