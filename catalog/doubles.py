@@ -6,6 +6,12 @@ DOUBLES: dict[str, tuple[str, ...]] = {
     "stores_dim": (),
     "upc_versions": (),
     "categories": (),
+    "movement_files": (),
+    "movement_file_quarter": ("revenue", "quantity"),
+    "store_files": (),
+    "upc_version_files": (),
+    "extras_file": (),
+    "trade_cost_file": ("iceberg_trade_cost", "non_iceberg_trade_cost"),
     "movement_quarter": ("revenue", "quantity"),
     "product_panel": ("revenue", "quantity", "price"),
     "extras_groups": (),

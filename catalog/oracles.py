@@ -664,6 +664,29 @@ SQL: dict[str, str] = {
         FROM factors WINDOW f AS (PARTITION BY firm_id, year)""",
 }
 
+SQL |= {
+    "movement_files": """
+        SELECT lpad(CAST(ascii(p_type) * 100 + length(p_type) AS VARCHAR), 4, '0') AS "group",
+               CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS n_rows,
+               count(DISTINCT l_suppkey) AS n_stores, count(DISTINCT l_partkey) AS n_products,
+               CAST(sum(l_quantity) AS BIGINT) AS units,
+               CAST(round(sum(l_extendedprice * 100)) AS BIGINT) AS cents,
+               CAST(sum(l_linenumber) AS BIGINT) AS multiples,
+               CAST(min(strftime(l_shipdate, '%Y%m%d')) AS INTEGER) AS first_week,
+               CAST(max(strftime(l_shipdate, '%Y%m%d')) AS INTEGER) AS last_week
+        FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
+    "movement_file_quarter": SQL["movement_quarter"],
+    "store_files": SQL["stores_dim"],
+    "upc_version_files": SQL["upc_versions"],
+    "extras_file": f"""
+        SELECT upc, CAST(y AS INTEGER) AS year, "group", flavor_code, size_code
+        FROM attrs, (SELECT unnest({YEARS}) AS y)""",
+    "trade_cost_file": """
+        SELECT producing_state, consuming_state, firm_id, year, iceberg AS iceberg_trade_cost,
+               unit_cost AS non_iceberg_trade_cost
+        FROM flows""",
+}
+
 CTE["binned"] = 'SELECT panel.*, hhi_bin FROM panel LEFT JOIN bins USING ("group")'
 ORDER.append("binned")
 

@@ -15,6 +15,7 @@ from aisleframe.operators import (
     taxes,
 )
 from aisleframe.sources import mapping as m
+from aisleframe.sources import readers, schemas
 from aisleframe.sources.stages import read_stage, shared_dir, stage_table, write_stage
 from catalog.digits import EDGE, digits_of
 
@@ -57,7 +58,79 @@ def upc_versions(spark, sf_dir):
 
 @query
 def categories(spark, sf_dir):
-    return m.quarterly(spark, sf_dir).select("group").distinct()
+    return readers.categories(m.quarterly(spark, sf_dir))
+
+
+# --- the same tables through their input files --------------------------------------------------
+
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/aisleframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def _as_files(df: DataFrame, name: str, year: str, tag: str) -> str:
+    """The rows as tab-separated files, a folder for each tag; odd years have their columns in another order
+    and a further column."""
+    folder = _folder(df.sparkSession, name)
+    rows = df.withColumn("file", F.expr(tag)).hint("rebalance", "file")
+    columns = df.columns
+    layouts = ([*columns], [*columns[::-1], "unused"])
+    for odd, layout in enumerate(layouts):
+        rows.withColumn("unused", F.lit("x")).where(f"({year}) % 2 = {odd}").select(*layout, "file").write.partitionBy(
+            "file").csv(f"{folder}/{odd}", sep="\t", header=True)
+    return folder
+
+
+@query
+def movement_files(spark, sf_dir):
+    """All weekly rows written by category and year and read back, then what each file held."""
+    weeks = m.with_group(m.movement(spark, sf_dir), spark, sf_dir)
+    code = "lpad(string(ascii(`group`) * 100 + length(`group`)), 4, '0')"
+    rows = weeks.withColumn("code", F.expr(code)).drop("group")
+    folder = _as_files(rows, "movement", "week_end div 10000", "concat(code, '_', week_end div 10000)")
+    return readers.read_movement(spark, folder).groupBy("group", "year").agg(
+        F.count("*").alias("n_rows"), F.countDistinct("store_code_uc").alias("n_stores"),
+        F.countDistinct("upc").alias("n_products"), F.sum("units").cast("long").alias("units"),
+        F.round(F.sum(F.col("price") * 100)).cast("long").alias("cents"),
+        F.sum("prmult").cast("long").alias("multiples"), F.min("week_end").alias("first_week"),
+        F.max("week_end").alias("last_week"))
+
+
+@query
+def movement_file_quarter(spark, sf_dir):
+    """Store x product x quarter from the files of all categories and years."""
+    weeks = m.with_group(m.movement(spark, sf_dir), spark, sf_dir).withColumn("code", F.expr(
+        "lpad(string(ascii(`group`) * 100 + length(`group`)), 4, '0')")).drop("group")
+    folder = _as_files(weeks, "movement", "week_end div 10000", "concat(code, '_', week_end div 10000)")
+    return collapse.movement_quarter(readers.read_movement(spark, folder).drop("group"))
+
+
+@query
+def store_files(spark, sf_dir):
+    folder = _as_files(m.stores(spark, sf_dir), "stores", "year", "string(year)")
+    return readers.read_stores(spark, folder)
+
+
+@query
+def upc_version_files(spark, sf_dir):
+    versions = m.upc_versions(spark, sf_dir).withColumnRenamed("year", "panel_year")
+    return readers.read_upc_versions(spark, _as_files(versions, "versions", "panel_year", "string(panel_year)"))
+
+
+@query
+def extras_file(spark, sf_dir):
+    """Of two size codes the second is the one in use."""
+    folder = _folder(spark, "extras")
+    extras = m.extras(spark, sf_dir).withColumnRenamed("size_code", "size2_code")
+    extras.withColumn("size_code", F.lit(-1)).write.parquet(folder)
+    return readers.read_extras(spark, folder).select("upc", "year", "group", "flavor_code", "size_code")
+
+
+@query
+def trade_cost_file(spark, sf_dir):
+    """Trade costs of the observed flows through their CSV file."""
+    folder = _folder(spark, "trade-costs")
+    readers.write_panel(m.trade_flows(spark, sf_dir).select(schemas.TRADE_COSTS.fieldNames()), folder)
+    return readers.read_trade_costs(spark, folder)
 
 
 @query
