@@ -152,14 +152,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nexts = known.select(F.col("doc_id").alias("next_id"), F.col("chief").alias("next_chief"))
     links = stage_table(following(known).join(nexts, "next_id").join(known.select("doc_id", "quarter"), "doc_id"), "nexts")
 
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, chars // PART_CHARS)
+    parts = int(max(docs.sparkSession.sparkContext.defaultParallelism, chars // PART_CHARS))
     key = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
-    dealt = texts.withColumn("key", key).repartition(int(parts), "key")
-    wanted = links.select(F.col("next_id").alias("doc_id"), F.col("next_chief").alias("own"),
-                          F.xxhash64("doc_id").alias("key"), "quarter")
-    ahead = texts.join(wanted, ["doc_id", "own"]).select(
-        "key", F.substring("text", F.lit(1), F.col("quarter").cast("int")).alias("ahead"))
-    ahead = ahead.groupBy("key").agg(F.max("ahead").alias("ahead"))
+    dealt = texts.withColumn("key", key).repartition(parts, "key")
+    # Filters stay above the joins, so that both read one exchange of the texts.
+    wanted = links.select(F.xxhash64("next_id").alias("key"), F.xxhash64("doc_id").alias("previous"), "quarter", "next_chief")
+    chief = F.col("doc_id").isNotNull() & (F.col("own") == F.col("next_chief"))
+    ahead = dealt.join(wanted, "key").select(F.col("previous").alias("key"), F.when(chief, F.substring(
+        "text", F.lit(1), F.col("quarter").cast("int"))).alias("ahead"))
+    ahead = ahead.repartition(parts, "key").groupBy("key").agg(F.max("ahead").alias("ahead"))
     rows = dealt.join(ahead, "key", "left").groupBy("key", "own", "doc_id", "text", "ahead").agg(
         F.count("*").cast("int").alias("copies"))
     n = F.length("text")
