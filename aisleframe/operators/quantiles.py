@@ -1,8 +1,9 @@
 """Exact quantiles and quantile bins that never gather an unbounded column in one task.
 
-Order statistics of groups of any size are found in two passes: a bounded sketch brackets each wanted
-rank, and exact counts of the rows below the bracket place the few rows inside it. The sketch decides
-only how many rows lie inside, never the result: a bracket that misses its rank is an error.
+Order statistics of groups of any size are found in three passes: a bounded sketch brackets each wanted
+rank, exact counts below and up to each bracket settle it, and the few rows inside are dealt by range and
+only the ranges with a wanted rank are ranked. The sketch decides only how many rows lie inside, never
+the result: a bracket that misses its rank is widened to the end of its group.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
 
 
 def _bracketed(values: DataFrame, probs: Sequence[float], by: Sequence[str], name: str) -> DataFrame:
-    """Two passes over a written table of values of any size."""
+    """Three passes over a written table of values of any size."""
     lows = [max(p - BRACKET, 0.0) for p in probs]
     highs = [min(p + BRACKET, 1.0) for p in probs]
     sketch = values.groupBy(*by).agg(
@@ -52,40 +53,66 @@ def _bracketed(values: DataFrame, probs: Sequence[float], by: Sequence[str], nam
             .otherwise(F.col("_lows")[i]).alias("lo"),
             F.when((F.col("_n") * BRACKET < SPARE) | F.lit(highs[i] == 1), F.col("_max"))
             .otherwise(F.col("_highs")[i]).alias("hi"),
+            F.col("_min").alias("least"), F.col("_max").alias("most"),
         )
         for i, p in enumerate(probs)
     ]).alias("_b"))
-    placed = _with_brackets(values, brackets, by)
-
-    below = placed.groupBy(*by).agg(
-        F.array(*[F.count_if(F.col("_x") < F.col("_b")[i]["lo"]) for i in range(len(probs))])
-        .alias("_below")
-    )
-    inside = placed.select(
+    brackets = stage_table(brackets, "quantile-brackets")
+    counts = _with_row(values, brackets, by).groupBy(*by).agg(F.array(*[
+        F.struct(F.count_if(F.col("_x") < F.col("_b")[i]["lo"]).alias("below"),
+                 F.count_if(F.col("_x") <= F.col("_b")[i]["hi"]).alias("upto"))
+        for i in range(len(probs))
+    ]).alias("_c"))
+    settled = _with_row(brackets, counts, by).select(*by, F.zip_with("_b", "_c", _widened).alias("_b"))
+    inside = _with_row(values, settled, by).select(
         *by, "_x",
         F.explode(F.filter("_b", lambda b: F.col("_x").between(b["lo"], b["hi"]))).alias("_b"),
-    ).groupBy(*by, "_b", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    ).groupBy(*by, F.col("_b.i").alias("_i"), F.col("_b.h").alias("_h"),
+              F.col("_b.below").alias("_below"), "_x").agg(F.count(F.lit(1)).alias("_n"))
+    points = _select_ranks(inside, [*by, "_i", "_h", "_below"])
+    cuts = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"])
+    return points.groupBy(*by).agg(cuts.alias(name))
 
-    ranked = _with_brackets(inside, below, by).withColumn(
-        "_upto",
-        F.col("_below")[F.col("_b")["i"]]
-        + F.sum("_n").over(Window.partitionBy(*by, F.col("_b")["i"]).orderBy("_x")),
+
+def _widened(b: Column, c: Column) -> Column:
+    """The counted bracket, with an end that misses its rank moved to the end of the group."""
+    low = c["below"] > F.floor(b["h"])
+    return F.struct(
+        b["i"].alias("i"), b["h"].alias("h"),
+        F.when(low, b["least"]).otherwise(b["lo"]).alias("lo"),
+        F.when(c["upto"] <= F.ceil(b["h"]), b["most"]).otherwise(b["hi"]).alias("hi"),
+        F.when(low, 0).otherwise(c["below"]).alias("below"),
     )
-    h = F.col("_b")["h"]
-    points = ranked.groupBy(*by, F.col("_b")["i"].alias("i"), h.alias("h")).agg(
-        F.min(F.when(F.col("_upto") > F.floor(h), F.col("_x"))).alias("lower"),
-        F.min(F.when(F.col("_upto") > F.ceil(h), F.col("_x"))).alias("upper"),
-        F.max(F.col("_below")[F.col("_b")["i"]]).alias("below"),
-    ).withColumn(
-        "q", F.when((F.col("below") > F.floor("h")) | F.col("upper").isNull(),
-                    F.raise_error(F.lit("a quantile bracket misses its rank")).cast("double"))
-        .otherwise(F.col("lower") + (F.col("h") - F.floor("h")) * (F.col("upper") - F.col("lower")))
+
+
+def _select_ranks(inside: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Interpolated value at position _h of each list of distinct values _x with counts _n.
+
+    The values are dealt by range; the counts of the ranges give each range its first rank, and only the
+    ranges that hold a wanted rank are ranked, each on its own. No task sees a whole list unless it is
+    as short as a range.
+    """
+    dealt = inside.repartitionByRange(*keys, "_x").withColumn("_range", F.spark_partition_id())
+    dealt = stage_table(dealt, "quantile-ranges")
+    ranges = dealt.groupBy(*keys, "_range").agg(F.sum("_n").alias("_rows"))
+    # One row for each range that a list touches from here on.
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_below") + F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+    wanted = ranges.withColumn("_before", before).where(
+        (F.col("_before") <= F.ceil("_h")) & (F.col("_before") + F.col("_rows") > F.floor("_h"))
+    ).drop("_rows")
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy("_x"))
+    ranked = join_groups(dealt, wanted, [*keys, "_range"]).where(
+        F.col("_before").isNotNull()).withColumn("_upto", upto)
+    found = ranked.groupBy(*keys).agg(
+        F.min(F.when(F.col("_upto") > F.floor("_h"), F.col("_x"))).alias("_lower"),
+        F.min(F.when(F.col("_upto") > F.ceil("_h"), F.col("_x"))).alias("_upper"),
     )
-    cuts = F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda s: s["q"])
-    return points.groupBy(*by).agg(cuts.alias(name))
+    step = (F.col("_h") - F.floor("_h")) * (F.col("_upper") - F.col("_lower"))
+    return found.withColumn("_q", F.col("_lower") + step)
 
 
-def _with_brackets(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
+def _with_row(df: DataFrame, per_group: DataFrame, by: Sequence[str]) -> DataFrame:
     """Add the one per-group row; without groups it is a scalar subquery."""
     if by:
         return join_groups(df, per_group, by)

@@ -67,6 +67,32 @@ def test_bracketed_quantiles_with_one_dominant_value(spark):
     assert got == pytest.approx(np.quantile(x, probs).tolist())
 
 
+def test_brackets_that_miss_are_widened(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 4)
+    monkeypatch.setattr(quantiles, "SPARE", 0)
+    n = 20_000
+    df = spark.range(n).selectExpr("id % 3 AS g", "double(id * id % 10007) AS x")
+    ids = np.arange(n)
+    x = (ids * ids % 10007).astype(float)
+    probs = [0.01, 0.3, 0.5, 0.77, 0.999]
+    for r in quantiles.exact_quantiles(df, "x", probs, ["g"]).collect():
+        assert r.cuts == pytest.approx(np.quantile(x[ids % 3 == r.g], probs).tolist()), r.g
+
+
+def test_ranges_without_a_wanted_rank_are_not_ranked(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SPARE", 10**9)
+    n = 50_000
+    df = spark.range(n).selectExpr("double(id * 7919 % 50021) AS x")
+    x = np.arange(n) * 7919 % 50021
+    got = quantiles.exact_quantiles(df, "x", [0.25, 0.5]).first().cuts
+    assert got == pytest.approx(np.quantile(x, [0.25, 0.5]).tolist())
+    dealt = df.selectExpr("0 AS _i", "24999.5D AS _h", "0L AS _below", "x AS _x", "1L AS _n")
+    few = df.where("x < 0").selectExpr("0 AS _i", "0D AS _h", "0L AS _below", "x AS _x", "1L AS _n")
+    found = quantiles._select_ranks(dealt, ["_i", "_h", "_below"]).first()
+    assert found._q == pytest.approx(np.median(x))
+    assert quantiles._select_ranks(few, ["_i", "_h", "_below"]).count() == 0
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.floats(-1e6, 1e6, width=32), min_size=1, max_size=40))
 def test_median_property(spark, values):
