@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from aisleframe.operators import collapse, exposure, pricing, regression, reshap
 from aisleframe.operators.joins import update_join
 from aisleframe.plans.study import Study
 from aisleframe.sources import readers, schemas
-from aisleframe.sources.stages import read_stage, stage_table, write_results, write_stage
+from aisleframe.sources.stages import StepLog, read_stage, stage_table, write_results, write_stage
 
 QUARTERLY = "store_code_uc long, upc long, quarter int, revenue double, quantity double, " \
     "group string, year int"
@@ -140,10 +141,19 @@ class ScannerPlan:
 
     def run(self, movement: str | Sequence[str], stores: DataFrame, versions: DataFrame,
             extras: DataFrame, rates: DataFrame,
-            attributes: Sequence[str] = schemas.ATTRIBUTES) -> None:
-        """All steps."""
-        self.clean(movement)
-        self.products(stores, versions)
-        self.collapse(extras, attributes)
-        self.uniform()
-        self.regressions(rates)
+            attributes: Sequence[str] = schemas.ATTRIBUTES, resume: bool = False) -> list[str]:
+        """All steps; returns the names of those that ran. Only the results stay in the folder.
+
+        With resume, steps that an earlier run with the same study, files and attributes has finished are
+        not run again. Files are known by their paths; one that changed in place needs a fresh run.
+        """
+        weeks = readers.read_movement(self.spark, movement)
+        inputs = [sorted(df.inputFiles()) for df in (weeks, stores, versions, extras, rates)]
+        key = sha256(repr((self.study, inputs, list(attributes))).encode()).hexdigest()
+        return StepLog(self.spark, self.path("steps"), key).run({
+            "clean": lambda: self.clean(movement),
+            "products": lambda: self.products(stores, versions),
+            "collapse": lambda: self.collapse(extras, attributes),
+            "uniform": self.uniform,
+            "regressions": lambda: self.regressions(rates),
+        }, resume)

@@ -2,7 +2,8 @@
 
 A staged table cuts lineage and survives lost executors, because it lies in the cluster's shared
 folder. Its size on disk is known to the optimizer, so a later join broadcasts it only while it is
-below `spark.sql.autoBroadcastJoinThreshold`.
+below `spark.sql.autoBroadcastJoinThreshold`. Stage tables written inside a `stage_scope` are dropped at
+its end; `StepLog` runs the steps of a job in such scopes and resumes after the last finished one.
 """
 
 from __future__ import annotations
@@ -11,12 +12,17 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _local_dirs: dict[str, str] = {}
+_scope: ContextVar[list[str] | None] = ContextVar("stage_scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,15 +43,85 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def _located(spark: SparkSession, path: str):
+    """File system of a path, and the path as it takes it."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(context._jsc.hadoopConfiguration()), at
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder this library wrote; a missing one is fine."""
+    files, at = _located(spark, path)
+    files.delete(at, True)
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Drop the stage tables written inside when the block ends or fails.
+
+    Frames that read them must be written before the end. In an inner scope only its own tables are dropped.
+    """
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in paths:
+            drop_path(spark, path)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write the frame to the shared folder and return the written table."""
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/aisleframe/{app}/{name}-{uuid.uuid4().hex}"
+    scope = _scope.get()
+    if scope is not None:
+        scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@dataclass
+class StepLog:
+    """Finished steps of a job: one small table each below the folder, holding the job's key.
+
+    The key states what the job's results depend on; a step finished under another key is not finished.
+    """
+
+    spark: SparkSession
+    folder: str
+    key: str
+
+    def mark(self, step: str) -> str:
+        return f"{self.folder.rstrip('/')}/{step}"
+
+    def finished(self, step: str) -> bool:
+        files, at = _located(self.spark, f"{self.mark(step)}/_SUCCESS")
+        return files.exists(at) and self.spark.read.text(self.mark(step)).first()[0] == self.key
+
+    def run(self, steps: Mapping[str, Callable[[], None]], resume: bool = False) -> list[str]:
+        """Run the steps in order, each in a scope of its own; returns the names of those that ran.
+
+        With resume, finished steps before the first unfinished one are skipped. That one and all later
+        ones lose their marks before any of them starts, so that a job stopped at any point is never taken
+        for a finished one. Steps must overwrite what a stopped run left.
+        """
+        names = list(steps)
+        done = 0
+        while resume and done < len(names) and self.finished(names[done]):
+            done += 1
+        for name in reversed(names[done:]):
+            drop_path(self.spark, self.mark(name))
+        for name in names[done:]:
+            with stage_scope(self.spark):
+                steps[name]()
+            self.spark.range(1).select(F.lit(self.key).alias("value")).coalesce(1).write.text(self.mark(name))
+        return names[done:]
+
+
 def write_stage(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("group", "year")) -> None:
     """Persist a pipeline step, one folder per category and year.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +176,63 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         stages.shared_dir(Session())
+
+
+def _staged(spark):
+    folder = Path(stages.shared_dir(spark)) / "aisleframe" / spark.sparkContext.applicationId
+    return {p.name for p in folder.iterdir()} if folder.exists() else set()
+
+
+def test_a_scope_drops_its_tables_also_after_a_failure(spark):
+    before = _staged(spark)
+    with stages.stage_scope(spark):
+        outer = stages.stage_table(spark.range(4), "outer")
+        with pytest.raises(RuntimeError), stages.stage_scope(spark):
+            stages.stage_table(spark.range(2), "inner")
+            raise RuntimeError
+        assert outer.count() == 4 and len(_staged(spark) - before) == 1
+    assert _staged(spark) == before
+
+
+def test_a_stopped_job_resumes_at_its_unfinished_step(spark, tmp_path):
+    ran, fails = [], [True]
+
+    def step(name):
+        def job():
+            ran.append(name)
+            rows = stages.stage_table(spark.range(3), name)
+            stages.write_results(rows, str(tmp_path / "out" / name))
+            if name == "b" and fails[0]:
+                raise RuntimeError("killed after its output was written")
+        return job
+
+    before = _staged(spark)
+    steps = {name: step(name) for name in "abc"}
+    log = stages.StepLog(spark, str(tmp_path / "steps"), "key")
+    with pytest.raises(RuntimeError):
+        log.run(steps, resume=True)
+    assert [log.finished(s) for s in "abc"] == [True, False, False] and _staged(spark) == before
+    fails[0] = False
+    assert log.run(steps, resume=True) == ["b", "c"] and ran == ["a", "b", "b", "c"]
+    assert spark.read.parquet(str(tmp_path / "out" / "b")).count() == 3
+    assert log.run(steps, resume=True) == []
+    assert stages.StepLog(spark, str(tmp_path / "steps"), "other").run(steps, resume=True) == list("abc")
+    assert log.run(steps) == list("abc")
+
+
+def test_a_study_leaves_only_results_and_resumes(spark, files, plan, tmp_path_factory):
+    root, _ = files
+    inputs = (
+        str(root / "movement"),
+        readers.read_stores(spark, f"{root}/annual/stores_*.tsv"),
+        readers.read_upc_versions(spark, f"{root}/annual/versions_*.tsv"),
+        readers.read_extras(spark, str(root / "extras")),
+        readers.read_tax_rates(spark, str(root / "rates.csv")),
+        ["flavor_code", "size_code"],
+    )
+    before = _staged(spark)
+    assert plan.run(*inputs, resume=True) == []
+    stages.drop_path(spark, plan.path("steps/regressions"))
+    assert plan.run(*inputs, resume=True) == ["regressions"]
+    assert _staged(spark) == before
+    assert not any(name.startswith(("panel", "did", "quantile")) for name in before)
