@@ -1,7 +1,7 @@
 """Quality rules with cross-document line frequency.
 
 Each document is measured on its own, and its normalised lines are hashed. Spark counts in how many
-distinct texts of a host each line occurs; lines above the limit count as removed, and documents that
+documents of a host each line occurs; lines above the limit count as removed, and documents that
 keep too little are rejected.
 """
 
@@ -86,28 +86,20 @@ def _measure(batches):
         ends = pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32))
         lines = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(
             [pa.array(normal), pa.array(count.astype(np.int64))], ["line", "words"]))
-        text_hash = _ordered_sum(words.hashes(), *_row_spans(words))
-        digest = np.zeros(n, np.int64)
-        digest[words.counts > 0] = text_hash.view(np.int64)
         yield pa.record_batch({
-            "doc_id": batch.column("doc_id"), "host": batch.column("host"), "digest": digest,
+            "doc_id": batch.column("doc_id"), "host": batch.column("host"),
             "n_words": words.counts, "word_chars": _sums(words.inside & ((data & 0xC0) != 0x80), at),
             "n_symbols": _sums(SYMBOLS[data], at),
             "n_dup_lines": np.bincount(rows[order[1:][again]], minlength=n),
             "n_repeat_words": repeated_words(words), "lines": lines})
 
 
-def _row_spans(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    some = words.counts > 0
-    return words.first[:-1][some], words.counts[some]
-
-
 def quality(docs: DataFrame, limit: int = 100, least_left: int = 50, least_words: int = 50,
             id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Measures and verdict of each document, one row for each input row.
 
-    A line is removed where more than `limit` distinct texts of one host have it (copies of one text count
-    once, so that copying alone removes nothing). A document is rejected that fails the base rules, or
+    A line is removed where more than `limit` distinct documents of one host have it: copies of a text are
+    documents of their own, rows that repeat an id are one, and each row without an id is one. A document is rejected that fails the base rules, or
     keeps less than `least_left` per cent of its words. Returns doc_id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, n_line_words (words in removed lines), base_failed, kept. A null text has
     no words and fails; null hosts are one host; repeated rows and rows without an id are judged like any
@@ -116,15 +108,17 @@ def quality(docs: DataFrame, limit: int = 100, least_left: int = 50, least_words
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                         F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"))
     measured = texts.mapInArrow(
-        _measure, "doc_id long, host string, digest long, n_words long, word_chars long, n_symbols long, "
+        _measure, "doc_id long, host string, n_words long, word_chars long, n_symbols long, "
         "n_dup_lines long, n_repeat_words long, lines array<struct<line long, words long>>")
     measured = stage_table(measured.withColumn("row", F.monotonically_increasing_id()), "measures")
-    lines = measured.select("row", "host", "digest", F.inline("lines"))
-    common = lines.groupBy("host", "line").agg(F.countDistinct("digest").alias("texts")).where(
-        F.col("texts") > limit).select("host", "line")
+    nameless = F.when(F.col("doc_id").isNull(), F.col("row")).otherwise(-1)
+    lines = measured.select("row", "host", F.coalesce("doc_id", F.lit(0)).alias("id"), nameless.alias("nameless"),
+                            F.inline("lines"))
+    common = lines.groupBy("host", "line").agg(F.countDistinct("id", "nameless").alias("documents")).where(
+        F.col("documents") > limit).select("host", "line")
     removed = lines.join(common, ["host", "line"], "left_semi").groupBy("row").agg(
         F.sum("words").alias("n_line_words"))
-    whole = measured.drop("lines", "digest", "host").join(removed, "row", "left").withColumn(
+    whole = measured.drop("lines", "host").join(removed, "row", "left").withColumn(
         "n_line_words", F.coalesce("n_line_words", F.lit(0)))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("n_line_words")

@@ -12,10 +12,10 @@ repeats AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM twice, (VALUES (0), (
 lines AS (SELECT doc_id, host, t, line FROM (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS line FROM d)
           WHERE regexp_matches(line, '{WORD}')),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
-folded AS (SELECT doc_id, host, regexp_extract_all(t, '{WORD}') AS ws, len(regexp_extract_all(line, '{WORD}')) AS n,
+folded AS (SELECT doc_id, host, len(regexp_extract_all(line, '{WORD}')) AS n,
                   array_to_string(regexp_extract_all(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                   'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '{WORD}'), ' ') AS line FROM lines),
-common AS (SELECT host, line FROM folded GROUP BY host, line HAVING count(DISTINCT ws) > 100),
+common AS (SELECT host, line FROM folded GROUP BY host, line HAVING count(DISTINCT doc_id) > 100),
 gone AS (SELECT doc_id, sum(n) AS n FROM folded SEMI JOIN common USING (host, line) GROUP BY doc_id),
 base AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
                 length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
@@ -75,8 +75,14 @@ bs AS ({_seed_rows('bp', 'item_id')}),
 hits AS (SELECT DISTINCT doc_id, item_id, ds.i AS i, bs.i AS j, ds.ws AS w, bs.ws AS v
          FROM ds JOIN bs USING (mask, seed)),
 equal AS (SELECT doc_id, item_id, i, list_sum([CASE WHEN i + t > 0 AND j + t > 0 AND w[i+t] = v[j+t] THEN 1 ELSE 0 END
-          FOR t IN range(-8, 20)]) AS n FROM hits)
-SELECT doc_id, item_id, count(DISTINCT i) AS n_hits, max(n)::BIGINT AS n_equal FROM equal WHERE n >= 12
+          FOR t IN range(-8, 20)]) AS n, least(12, len(v) - len(v) // 6) AS least_n FROM hits),
+sb AS (SELECT item_id, len(ws) AS l, array_to_string(ws, ' ') AS s FROM b WHERE len(ws) BETWEEN 1 AND 11),
+sd AS (SELECT doc_id, l, i, array_to_string(ws[i:i+l-1], ' ') AS s
+       FROM (SELECT doc_id, ws, l, unnest(range(1, len(ws) - l + 2)) AS i
+             FROM d JOIN (SELECT DISTINCT l FROM sb) ON len(ws) >= l)),
+found AS (SELECT doc_id, item_id, i, n FROM equal WHERE n >= least_n
+          UNION ALL SELECT doc_id, item_id, i, l FROM sd JOIN sb USING (l, s))
+SELECT doc_id, item_id, count(DISTINCT i) AS n_hits, max(n)::BIGINT AS n_equal FROM found
 GROUP BY doc_id, item_id
 """
 SQL["op1_spaced_seeds"] = SEEDS

@@ -135,6 +135,36 @@ def test_empty_table(empty, run):
     assert run(empty).count() == 0
 
 
+def test_lines_count_documents(spark):
+    """Copies of one text, rows without an id and repeated rows of one id."""
+    text = f"{prose(60)}\nshared line"
+    rows = [(i, text, "a") for i in range(4)] + [(None, text, "b")] * 4
+    rows += [(9, f"{prose(60)}\nonce again", "a")] * 7 + [(10, None, None), (11, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r.doc_id, r.n_line_words) for r in quality(docs, limit=3).collect()]
+    assert len(got) == len(rows) and {n for i, n in got if i in (0, 1, 2, 3, None)} == {62}
+    assert {n for i, n in got if i in (9, 10, 11)} == {0}
+
+
+def test_short_benchmark_items(spark):
+    """Items under 12 words match whole; a little longer ones allow a substituted word."""
+    words = prose(400).split()
+    twelve, thirteen = words[:12], words[20:33]
+    items = [(1, "Two Plus two"), (2, "yes"), (3, " ".join(twelve)), (4, ""), (5, None), (6, "two plus two"),
+             (7, " ".join(words[40:51])), (8, " ".join(thirteen)),
+             (None, " ".join(words[350:370]))]
+    benchmark = spark.createDataFrame([(*i, 0) for i in items], "item_id long, text string, doc_id int")
+    far = " ".join(words[60:140])
+    docs = [(1, f"{far} two plus TWO {far} two plus two"), (2, "two plus"), (3, "two plus two"), (4, "no, yes it is"),
+            (5, " ".join([*twelve[:3], "other", *twelve[4:]])), (6, far + " " + " ".join(words[40:51])),
+            (7, far + " " + " ".join(words[40:50])), (8, None), (9, ""),
+            (10, " ".join([*thirteen[:3], "other", *thirteen[4:9], "other", *thirteen[10:]])), (11, " ".join(words[350:370]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_hits, r.n_equal) for r in contaminated(frame, benchmark).collect()}
+    assert got == {(1, 1): (2, 3), (3, 1): (1, 3), (4, 2): (1, 1), (5, 3): (1, 11), (6, 7): (1, 11), (10, 8): (1, 11),
+                   (11, None): (9, 20)}
+
+
 def test_line_frequency(spark):
     rows = [(i, f"{prose(60)}\nCommon  line {i % 10}\n{prose(20)}", "a") for i in range(8)]
     rows += [(8, "common line 1\n" * 3 + prose(50), "a"), (9, "common line 1", "b"), (10, None, None)]
@@ -322,6 +352,36 @@ def test_archive(spark, tmp_path):
     records = {r.page_id: r for r in archive.read_records(spark, str(tmp_path)).collect()}
     assert bytes(records[1].payload).decode() == big and bytes(records[3].record).endswith(big.encode() + b"\r\n\r\n")
     assert b"WARC-Refers-To: <urn:x-page:3>" in bytes(records[1].record)
+    assert all(b"\r\nWARC-Date: " in bytes(r.record) for r in records.values())
+
+
+def test_archive_of_repeated_ids_many_copies_and_odd_columns(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archive, "COPIES", 3)
+    big = "\r\n\r\n" + "x" * 1200 + "\r\n\r\n"
+    rows = [(i, "a\r\nContent-Length: 3\r\n\r\n", big, "k") for i in (*range(20), 19)] + [(30, "", "", None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, key string")
+    archive.write_archive(table, str(tmp_path / "a"))
+    got = archive.read_index(spark, str(tmp_path / "a")).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got if r.record_type == "response") == [
+        (19, "response", None), (19, "response", None), (30, "response", None)]
+    assert len(got) == 22 and {r.refers_to for r in got if r.record_type == "revisit"} == {19}
+    assert {r.payload_digest for r in got if r.page_id < 30} == {hashlib.sha1(big.encode()).hexdigest()}
+    assert spark.read.parquet(f"{tmp_path}/a/headers").where("id < 20").select("part").distinct().count() > 1
+    empty = table.where("page_id > 99")
+    archive.write_archive(empty, str(tmp_path / "b"))
+    assert archive.read_index(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_a_damaged_payload_is_an_error(spark, tmp_path):
+    table = spark.createDataFrame([(1, "u", "one"), (2, "v", "two")], "page_id long, url string, html string")
+    archive.write_archive(table, str(tmp_path / "a"))
+    stored = spark.read.parquet(f"{tmp_path}/a/payloads")
+    spoilt = stored.selectExpr(
+        "key", "if(payload = cast('two' AS binary), cast('twx' AS binary), payload) AS payload", "copies")
+    spoilt.write.parquet(f"{tmp_path}/b/payloads")
+    spark.read.parquet(f"{tmp_path}/a/headers").write.parquet(f"{tmp_path}/b/headers")
+    with pytest.raises(Exception, match="missing or damaged"):
+        archive.read_index(spark, f"{tmp_path}/b").collect()
 
 
 def test_toxicity_of_short_texts(spark):
