@@ -7,6 +7,7 @@ a worker keeps the ids of pieces it has met. The ids are those of the `tokenizer
 from __future__ import annotations
 
 import json
+import re
 import sys
 import types
 
@@ -85,7 +86,8 @@ class Encoder:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            given = json.load(f)
+        vocab = given["model"]["vocab"]
         # The file writes byte b as one printable sign: itself if printable, else the next from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         signs = {chr(b): b for b in plain}
@@ -93,9 +95,11 @@ class Encoder:
         ranks = {bytes(signs[c] for c in word): i for word, i in vocab.items() if all(c in signs for c in word)}
         top = max(ranks.values()) + 1
         ranks = {w: i for w, i in ranks.items() if i < top}
-        special = {w: i for w, i in ((b"<|endoftext|>", vocab.get("<|endoftext|>")),) if i is not None}
-        for w in special:
-            ranks.pop(w, None)
+        # Added tokens of the file: their text is one id wherever it stands, and cuts the text around it.
+        self.special = {t["content"]: t["id"] for t in given.get("added_tokens", ())}
+        self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+        for w in self.special:
+            ranks.pop(w.encode(), None)
         self.encode = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks,
                                         special_tokens={}).encode_ordinary
         self.kinds = _kinds()
@@ -113,12 +117,24 @@ class Encoder:
             cache[path] = cls(path)
         return cache[path]
 
+    def _marked(self, texts: list[str], whole: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where added tokens begin and end in the texts laid end to end; none lies across two texts."""
+        found = []
+        if any(w in whole for w in self.special):
+            found = [(a + m.start(), a + m.end()) for t, a in zip(texts, at.tolist(), strict=False) for m in self.marks.finditer(t)]
+        begin, end = np.array(found, np.int64).reshape(-1, 2).T
+        return begin, end
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text begins."""
         whole = "".join(texts)
         at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-        start = piece_starts(points, at, self.kinds)
+        begin, end = self._marked(texts, whole, at)
+        start = piece_starts(points, np.concatenate([at, begin, end]), self.kinds)
+        if len(begin):
+            before = np.searchsorted(begin, start) - 1  # the last marked text that begins earlier
+            start = start[(before < 0) | (start >= end[before])]
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
         size = np.diff(start, append=len(points))
@@ -135,13 +151,14 @@ class Encoder:
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.slots) > KNOWN:
             self.clear()
-        slots, ids, ends, encode = self.slots, self.ids, self.ends, self.encode
+        slots, ids, ends, encode, special = self.slots, self.ids, self.ends, self.encode, self.special
         found = []
         for key, a, n in zip(distinct.tolist(), start[first].tolist(), size[first].tolist(), strict=True):
             slot = slots.get(key)
             if slot is None:
                 slot = slots[key] = len(ends) - 1
-                ids += encode(whole[a:a + n])
+                piece = whole[a:a + n]
+                ids += [special[piece]] if piece in special else encode(piece)
                 ends.append(len(ids))
             found.append(slot)
         flat, bounds = np.array(ids, np.int32), np.array(ends, np.int64)

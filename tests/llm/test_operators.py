@@ -192,12 +192,12 @@ def test_encoder_is_the_tokenizer(texts):
     from tokenizers import Tokenizer
 
     other = Tokenizer.from_file(default_path())
-    other.encode_special_tokens = True
-    hard = ["it's 'sabc ''s x's\n's 'll 're'", "  a  b\n\n c \t d  ", "<|endoftext|>  x", "'", "I'll　we've １２ ab12 !!! 'T"]
+    hard = ["hello <|endoftext|> there", "<|endoftext|><|endoftext|>'s", "a<|endoftext|>'re  ", "<|endof", "text|>", "<<|endoftext|>> ", "it's 'sabc ''s x's\n's 'll 're'", "  a  b\n\n c \t d  ", "<|endoftext|>  x", "'", "I'll　we've １２ ab12 !!! 'T"]
     given = [t or "" for t in texts.values()] + hard
     ids, at = Encoder(default_path())(given)
     for i, t in enumerate(given):
         assert ids[at[i]:at[i + 1]].tolist() == other.encode(t, add_special_tokens=False).ids
+    assert Encoder(default_path())(["hello <|endoftext|> there"])[0].tolist() == [31373, 220, 50256, 612]
 
 
 def test_packing_is_a_partition(docs, texts):
