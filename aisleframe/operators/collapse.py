@@ -56,24 +56,27 @@ def movement_totals(movement: DataFrame, keys: Sequence[str]) -> DataFrame:
     return total_by(weekly_measures(movement), keys)
 
 
-def attach_stores(df: DataFrame, stores: DataFrame, unique: bool = False) -> DataFrame:
-    """Parent and state of the store in that year."""
+def attach_stores(df: DataFrame, stores: DataFrame, unique: bool = False,
+                  order: Sequence[str] = ()) -> DataFrame:
+    """Parent and state of the store in that year; of several reports the last in the stated order."""
     columns = ["parent_code", "fips_state_code"]
-    return update_join(df, stores, ["store_code_uc", "year"], columns, unique=unique)
+    return update_join(df, stores, ["store_code_uc", "year"], columns, order, unique)
 
 
-def attach_versions(df: DataFrame, versions: DataFrame, unique: bool = False) -> DataFrame:
-    """Version of the product in that year."""
-    return update_join(df, versions, ["upc", "year"], ["upc_ver_uc"], unique=unique)
+def attach_versions(df: DataFrame, versions: DataFrame, unique: bool = False,
+                    order: Sequence[str] = ()) -> DataFrame:
+    """Version of the product in that year; of several reports the last in the stated order."""
+    return update_join(df, versions, ["upc", "year"], ["upc_ver_uc"], order, unique)
 
 
 def product_panel(quarterly: DataFrame, stores: DataFrame, versions: DataFrame,
-                  unique: bool = False) -> DataFrame:
+                  unique: bool = False, order: Sequence[str] = ()) -> DataFrame:
     """Store x upc x quarter with parent, state, product version and unit price.
 
-    `unique` states that the dimension tables have one row per key.
+    `unique` states that the dimension tables have one row per key; `order` names the columns of both
+    by which the last of several rows is taken.
     """
-    joined = attach_versions(attach_stores(quarterly, stores, unique), versions, unique)
+    joined = attach_versions(attach_stores(quarterly, stores, unique, order), versions, unique, order)
     return joined.withColumn("price", unit_price())
 
 

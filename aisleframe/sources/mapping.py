@@ -127,6 +127,42 @@ def extras(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sold(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """Quarters in which a store or product was sold, one row each."""
+    return movement_totals(movement(spark, sf_dir), [key, "year", "quarter"]).select(key, "year", "quarter")
+
+
+def store_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store dimension with a report for each quarter with sales: several rows for a store's year.
+
+    In the second half of a year a store reports the chain of its state.
+    """
+    suppliers = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("store_code_uc"), F.col("s_nationkey").alias("fips_state_code")
+    )
+    state_chain = F.when(F.col("quarter") >= 3, 300000 + F.col("fips_state_code"))
+    return _sold(spark, sf_dir, "store_code_uc").join(suppliers, "store_code_uc").withColumn(
+        "parent_code", F.coalesce(state_chain, parent_code("store_code_uc")).cast("long")
+    )
+
+
+def version_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product versions with a report for each quarter with sales."""
+    sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("upc"), "p_size")
+    version = (1 + (F.col("p_size") + F.col("quarter")) % 3).alias("upc_ver_uc")
+    return _sold(spark, sf_dir, "upc").join(sizes, "upc").select("upc", "year", "quarter", version)
+
+
+def extras_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product attributes with a report for each quarter with sales and nothing to say which is the last."""
+    brands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("upc"), "p_brand", "p_size")
+    flavor = F.concat_ws("-", "p_brand", (F.col("quarter") % 2).cast("string"))
+    size = F.when((F.col("p_size") + F.col("quarter")) % 4 != 0, (F.col("p_size") - F.col("quarter")).cast("int"))
+    return _sold(spark, sf_dir, "upc").join(brands, "upc").select(
+        "upc", "year", flavor.alias("flavor_code"), size.alias("size_code")
+    )
+
+
 def statutory_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corporate rate and sales weight by state and year."""
     state, year = F.col("n_nationkey"), F.col("year")

@@ -13,6 +13,9 @@ DOUBLES: dict[str, tuple[str, ...]] = {
     "extras_file": (),
     "trade_cost_file": ("iceberg_trade_cost", "non_iceberg_trade_cost"),
     "movement_quarter": ("revenue", "quantity"),
+    "product_panel_reports": ("revenue", "quantity", "price"),
+    "extras_collapse_reports": ("revenue", "quantity"),
+    "hhi_bin_panel_reports": ("revenue", "quantity"),
     "product_panel": ("revenue", "quantity", "price"),
     "extras_groups": (),
     "extras_collapse": ("revenue", "quantity"),
@@ -121,6 +124,10 @@ DOUBLES: dict[str, tuple[str, ...]] = {
         "apportioned_rate", "naive_rate", "total_cost", "total_output", "pre_tax_profit",
         "after_tax_profit", "after_tax_profit_naive",
     ),
+    "evaluated_profit": (
+        "apportioned_rate", "naive_rate", "total_cost", "total_output", "pre_tax_profit",
+        "after_tax_profit", "after_tax_profit_naive",
+    ),
     "apportioned_profit_trade": (
         "apportioned_rate", "naive_rate", "total_cost", "total_output", "pre_tax_profit",
         "after_tax_profit", "after_tax_profit_naive",

@@ -687,6 +687,40 @@ SQL |= {
         FROM flows""",
 }
 
+SQL |= {
+    "product_panel_reports": f"""
+        WITH stores_last AS (
+            SELECT store_code_uc, year, CASE WHEN max(quarter) >= 3 THEN 300000 + any_value(s_nationkey)
+                                             ELSE any_value({PARENT}) END AS parent_code,
+                   any_value(s_nationkey) AS fips_state_code
+            FROM moves JOIN supplier ON store_code_uc = s_suppkey GROUP BY store_code_uc, year),
+        versions_last AS (
+            SELECT upc, year, 1 + (any_value(p_size) + max(quarter)) % 3 AS upc_ver_uc
+            FROM moves JOIN part ON upc = p_partkey GROUP BY upc, year)
+        SELECT p.* EXCLUDE (parent_code, fips_state_code), s.parent_code, s.fips_state_code, v.upc_ver_uc,
+               revenue / nullif(quantity, 0) AS price
+        FROM products p LEFT JOIN stores_last s USING (store_code_uc, year) LEFT JOIN versions_last v USING (upc, year)""",
+    "extras_collapse_reports": """
+        WITH reported AS (
+            SELECT DISTINCT upc, year, concat(p_brand, '-', quarter % 2) AS flavor_code,
+                   CASE WHEN (p_size + quarter) % 4 <> 0 THEN p_size - quarter END AS size_code
+            FROM moves JOIN part ON upc = p_partkey),
+        best AS (
+            SELECT * FROM reported QUALIFY row_number() OVER (
+                PARTITION BY upc, year ORDER BY flavor_code DESC, size_code DESC NULLS LAST) = 1)
+        SELECT year, quarter, fips_state_code, parent_code, store_code_uc, "group",
+               md5('{' || concat_ws(',', '"flavor_code":"' || flavor_code || '"',
+                                         '"size_code":' || size_code) || '}') AS extras_group,
+               sum(revenue) AS revenue, sum(quantity) AS quantity
+        FROM products LEFT JOIN best USING (upc, year) GROUP BY ALL""",
+    "hhi_bin_panel_reports": f"""
+        SELECT sg.*, hhi_bin
+        FROM sg LEFT JOIN (SELECT "group", arg_max(hhi_bin, hhi) AS hhi_bin
+                           FROM ({SQL["hhi_bins_extras"]}) GROUP BY ALL) USING ("group")
+        WHERE year BETWEEN 1996 AND 2000""",
+    "evaluated_profit": SQL["apportioned_profit_trade"],
+}
+
 CTE["binned"] = 'SELECT panel.*, hhi_bin FROM panel LEFT JOIN bins USING ("group")'
 ORDER.append("binned")
 

@@ -14,6 +14,7 @@ from aisleframe.operators import (
     apportionment, collapse, exposure, joins, pricing, regression, reports, reshape, scenarios, specs,
     taxes,
 )
+from aisleframe.plans import model
 from aisleframe.sources import mapping as m
 from aisleframe.sources import readers, schemas
 from aisleframe.sources.stages import read_stage, shared_dir, stage_table, write_stage
@@ -152,6 +153,20 @@ def product_panel(spark, sf_dir):
     )
 
 
+@query
+def product_panel_reports(spark, sf_dir):
+    """Dimension tables with several reports a year: the last quarter's counts."""
+    return collapse.product_panel(m.quarterly(spark, sf_dir), m.store_reports(spark, sf_dir),
+                                  m.version_reports(spark, sf_dir), order=["quarter"])
+
+
+@query
+def extras_collapse_reports(spark, sf_dir):
+    """Attribute table with several rows for a product's year and no order: the largest values count."""
+    placed = collapse.attach_stores(m.quarterly(spark, sf_dir), m.stores(spark, sf_dir), unique=True)
+    return collapse.extras_collapse(placed, m.extras_reports(spark, sf_dir), m.ATTRIBUTES)
+
+
 @query
 def extras_groups(spark, sf_dir):
     return collapse.extras_groups(m.extras(spark, sf_dir), m.ATTRIBUTES)
@@ -222,6 +237,14 @@ def hhi_bin_panel(spark, sf_dir):
     return joins.update_join(panel, bins, ["group"], ["hhi_bin"], unique=True)
 
 
+@query
+def hhi_bin_panel_reports(spark, sf_dir):
+    """Bins of a category's extras groups on the category: that of the most concentrated one counts."""
+    bins = pricing.hhi_bins(_uniform(spark, sf_dir), ("group", "extras_group"))
+    panel = m.store_groups(spark, sf_dir, m.WINDOW)
+    return joins.update_join(panel, bins, ["group"], ["hhi_bin"], order=["hhi"])
+
+
 # --- taxes and exposure ------------------------------------------------------------------------
 
 @query
@@ -619,6 +642,17 @@ def apportioned_profit_trade(spark, sf_dir):
     )
 
 
+@query
+def evaluated_profit(spark, sf_dir):
+    """Profit at given prices and factors, trade costs from their CSV file."""
+    folder = _folder(spark, "trade-costs")
+    flows = m.trade_flows(spark, sf_dir)
+    costs = schemas.TRADE_COSTS.fieldNames()
+    readers.write_panel(flows.select(costs), folder)
+    keys = ("firm_id", "year", "producing_state", "consuming_state")
+    return model.evaluated(m.factor_panel(spark, sf_dir), folder, flows.drop(*(c for c in costs if c not in keys)))
+
+
 @query
 def trade_margins(spark, sf_dir):
     return apportionment.trade_margins(m.trade_flows(spark, sf_dir))
