@@ -30,8 +30,9 @@ DECAY = 0.6
 ROUNDS = 5
 #: Score of a word up to which it is no sign of toxicity at all.
 FLOOR = -2.0
-#: Triples, and words, whose dense vectors are held at a time.
+#: Triples, and words, whose dense vectors are held at a time; words of the vocabulary whose triples are.
 COLUMNS, ROWS = 4096, 250
+SCORED = 1 << 13
 #: Letters: a-z, and the last byte of other characters; any other byte is a gap. START opens a word.
 SIGNS = np.zeros(256, np.int64)
 SIGNS[97:123] = np.arange(1, 27)
@@ -267,25 +268,49 @@ def read(table: np.ndarray, bias: float, words: Words, score: np.ndarray, hashes
     return features(len(words.first) - 1, np.concatenate([words.rows(), row]), np.concatenate([score, more + bias]))
 
 
+def worded(texts: pa.Array | pa.ChunkedArray):
+    """Words of the texts, a bounded number of bytes at a time."""
+    for batch in slices(pa.table({"text": texts}).to_batches(), "text", PIECE):
+        yield Words(*utf8(batch.column("text")), lower=True)
+
+
+def vocabulary(texts: pa.Array | pa.ChunkedArray, y: np.ndarray):
+    """Distinct words of the texts as words of one row, and, ordered by hash, the number of each in that row, its
+    hash, and the numbers of toxic and of clean texts that hold it."""
+    spelling, keys, toxic, clean = [], [], [], []
+    row = 0
+    for words in worded(texts):
+        n = len(words.first) - 1
+        hashes = words.hashes()
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        seen = np.unique(which * np.int64(n) + words.rows())
+        in_all = np.bincount(seen // n, minlength=len(first))
+        in_toxic = np.bincount(seen // n, weights=y[row:row + n][seen % n], minlength=len(first))
+        keep = np.zeros(len(hashes), bool)
+        keep[first] = True
+        order = np.argsort(first)
+        spelling.append(words.joined(keep)[0])
+        keys.append(hashes[keep])
+        toxic.append(in_toxic[order])
+        clean.append((in_all - in_toxic)[order])
+        row += n
+    data = np.concatenate(spelling)
+    kind, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    in_toxic, in_clean = (np.bincount(which, weights=np.concatenate(x), minlength=len(kind)) for x in (toxic, clean))
+    return Words(data, np.array([0, len(data)])), first, kind, in_toxic, in_clean
+
+
 def train(texts: pa.Array | pa.ChunkedArray, toxic: list[int]) -> tuple[np.ndarray, float, np.ndarray]:
     """(triple weights, word bias, text weights) from labelled texts; without both classes, all scores are 0."""
     y = np.array(toxic)
     table, bias = np.zeros(SIZE ** 3), 0.0
     if not 0 < y.sum() < len(y):
         return table, bias, np.array([0, 0, 0, 0, -40.0])
-    words = Words(*utf8(texts), lower=True)
-    hashes = words.hashes()
-    kind, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    which = which.astype(np.int32)
-    seen = np.unique(which * np.int64(len(texts)) + words.rows())
-    in_toxic = np.bincount(seen // len(texts), weights=y[seen % len(texts)], minlength=len(kind))
-    in_clean = np.bincount(seen // len(texts), minlength=len(kind)) - in_toxic
-    del seen
+    words, first, kind, in_toxic, in_clean = vocabulary(texts, y)
     n1, n0 = int(y.sum()), int((1 - y).sum())
     odds = np.log((in_toxic + 0.5) / (n1 + 1)) - np.log((in_clean + 0.5) / (n0 + 1))
     expected = (in_toxic + in_clean) * n1 / len(y)
     surprise = in_toxic * np.log(np.maximum(in_toxic, 1e-9) / np.maximum(expected, 1e-9))
-    spelling = spelled(words, first)
     draw = np.random.default_rng(8)
     order = np.argsort(-surprise, kind="stable")
     positive = order[(odds[order] > 1.5) & (surprise[order] > 9) & (in_toxic[order] > 3)][:MOST]
@@ -299,10 +324,7 @@ def train(texts: pa.Array | pa.ChunkedArray, toxic: list[int]) -> tuple[np.ndarr
     negative = np.union1d(usual, draw.choice(clean, min(3 * MOST, len(clean)), replace=False))
 
     def part(chosen):
-        signs, begin, size = spelling
-        length = size[chosen]
-        starts = np.cumsum(length) - length
-        return signs[np.repeat(begin[chosen] - starts, length) + np.arange(int(length.sum()))], starts, length
+        return spelled(words, first[chosen])
 
     pool = np.concatenate([positive[:LANDMARKS], usual[:LANDMARKS // 2],
                            draw.choice(negative, min(LANDMARKS // 2, len(negative)), replace=False)])
@@ -324,12 +346,18 @@ def train(texts: pa.Array | pa.ChunkedArray, toxic: list[int]) -> tuple[np.ndarr
         weight = np.sqrt(np.where(sign > 0, in_toxic[chosen], in_clean[chosen]))
         w = hinge(mapped(chosen), sign, weight, 200.0)
         table = np.zeros(SIZE ** 3)
-        table[codes] = (root @ w[:-1]) @ marks
+        for a in range(0, len(codes), COLUMNS):
+            table[codes[a:a + COLUMNS]] = (root @ w[:-1]) @ marks[:, a:a + COLUMNS]
         bias = float(w[-1])
-        score = folded(table, *spelling) + bias
+        score = np.concatenate([folded(table, *part(np.arange(a, min(a + SCORED, len(kind)))))
+                                for a in range(0, len(kind), SCORED)]) + bias
         if turn < ROUNDS - 1:  # words of clean texts that look insulting become examples against it
             negative = np.union1d(negative, clean[np.argsort(-score[clean], kind="stable")[:MOST]])
-    return table, bias, rising(read(table, bias, words, score[which], hashes), y)
+    x = []
+    for words in worded(texts):
+        hashes = words.hashes()
+        x.append(read(table, bias, words, score[np.searchsorted(kind, hashes)], hashes))
+    return table, bias, rising(np.concatenate(x), y)
 
 
 def _scored(model, column: str, schema):
