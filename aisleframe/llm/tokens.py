@@ -1,4 +1,4 @@
-"""Byte-pair ids of a batch of texts: every distinct piece of a block is encoded once.
+"""Byte-pair ids of a batch of texts: every distinct piece of a block is encoded once, all new ones in one call.
 
 The cut into pieces (contractions, letters, digits, other signs, white space) is done on code-point arrays;
 a worker keeps the ids of pieces it has met. The ids are those of the `tokenizers` file given by path.
@@ -100,15 +100,19 @@ class Encoder:
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         for w in self.special:
             ranks.pop(w.encode(), None)
-        self.encode = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks,
+        # Many pieces are encoded in one call, with U+0000 between them; a piece that holds it goes alone.
+        self.between = ranks[b"\0"]
+        self.encode = tiktoken.Encoding("pieces", pat_str=r"[^\x00]+|\x00", mergeable_ranks=ranks,
                                         special_tokens={}).encode_ordinary
+        self.encode_alone = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=ranks,
+                                              special_tokens={}).encode_ordinary
         self.kinds = _kinds()
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.ids: list[int] = []
-        self.ends: list[int] = [0]
+        """Forget all pieces: their hashes in ascending order, the slot of each, and the slots' ids and ends."""
+        self.known, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -125,6 +129,32 @@ class Encoder:
         begin, end = np.array(found, np.int64).reshape(-1, 2).T
         return begin, end
 
+    def _learn(self, whole: str, points: np.ndarray, start: np.ndarray, size: np.ndarray,
+               marked: np.ndarray) -> np.ndarray:
+        """Add ids of pieces, some of them marked as added tokens; returns the pieces in the order of their slots."""
+        total = int(size.sum())
+        begin = np.cumsum(size) - size
+        spelled = points[np.repeat(start - begin, size) + np.arange(total)]
+        alone = marked | np.logical_or.reduceat(spelled == 0, begin)
+        chosen = np.flatnonzero(~alone)
+        own = size[chosen]
+        joined = np.zeros(int(own.sum()) + len(own), np.uint32)
+        letters = np.ones(len(joined), bool)
+        letters[np.cumsum(own + 1) - 1] = False
+        joined[letters] = spelled[np.repeat(~alone, size)]
+        ids = np.array(self.encode(joined.tobytes().decode("utf-32-le")), np.int32)
+        between = ids == self.between
+        count = np.diff(np.flatnonzero(between), prepend=-1) - 1
+        parts, counts = [self.ids, ids[~between]], [count]
+        for i in np.flatnonzero(alone):
+            piece = whole[start[i]:start[i] + size[i]]
+            found = [self.special[piece]] if marked[i] else self.encode_alone(piece)
+            parts.append(np.array(found, np.int32))
+            counts.append(np.array([len(found)]))
+        self.ids = np.concatenate(parts)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))])
+        return np.concatenate([chosen, np.flatnonzero(alone)])
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text begins."""
         whole = "".join(texts)
@@ -144,27 +174,34 @@ class Encoder:
         hashes = np.empty(len(start), np.uint64)
         for a in range(0, len(start), CHUNK):  # a bounded number of pieces at a time
             first, own = start[a], size[a:a + CHUNK]
-            begin = start[a:a + CHUNK] - first
+            at_piece = start[a:a + CHUNK] - first
             part = points[first:first + int(own.sum())].astype(np.uint64) + np.uint64(1)
-            hashes[a:a + CHUNK] = np.add.reduceat(part * powers[np.arange(len(part)) - np.repeat(begin, own)], begin)
+            hashes[a:a + CHUNK] = np.add.reduceat(part * powers[np.arange(len(part)) - np.repeat(at_piece, own)], at_piece)
         hashes = mix(hashes + size.astype(np.uint64))
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.slots) > KNOWN:
+        order = np.argsort(hashes)  # any of equal pieces will do
+        hashes = hashes[order]
+        opens = np.ones(len(hashes), bool)
+        opens[1:] = hashes[1:] != hashes[:-1]
+        distinct, first = hashes[opens], order[opens]
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(opens) - 1
+        if len(self.known) > KNOWN:
             self.clear()
-        slots, ids, ends, encode, special = self.slots, self.ids, self.ends, self.encode, self.special
-        found = []
-        for key, a, n in zip(distinct.tolist(), start[first].tolist(), size[first].tolist(), strict=True):
-            slot = slots.get(key)
-            if slot is None:
-                slot = slots[key] = len(ends) - 1
-                piece = whole[a:a + n]
-                ids += [special[piece]] if piece in special else encode(piece)
-                ends.append(len(ids))
-            found.append(slot)
-        flat, bounds = np.array(ids, np.int32), np.array(ends, np.int64)
-        found = np.array(found, np.int64)
-        begin, count = bounds[found][which], (bounds[found + 1] - bounds[found])[which]
+        place = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), bool)
+        if len(self.known):
+            new = self.known[np.minimum(place, len(self.known) - 1)] != distinct
+        if new.any():
+            fresh = first[new]
+            order = self._learn(whole, points, start[fresh], size[fresh], np.isin(start[fresh], begin))
+            slots = np.empty(len(order), np.int64)
+            slots[order] = len(self.known) + np.arange(len(order))
+            self.known = np.insert(self.known, place[new], distinct[new])
+            self.slots = np.insert(self.slots, place[new], slots)
+            place = np.searchsorted(self.known, distinct)
+        found = self.slots[place]
+        begin, count = self.ends[found][which], (self.ends[found + 1] - self.ends[found])[which]
         stop = np.cumsum(count)
-        out = flat[np.repeat(begin - (stop - count), count) + np.arange(int(stop[-1]))]
+        out = self.ids[np.repeat(begin - (stop - count), count) + np.arange(int(stop[-1]))]
         pieces_before = np.searchsorted(start, at)
         return out, np.concatenate([[0], stop])[pieces_before]

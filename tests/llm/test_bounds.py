@@ -6,8 +6,25 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from tokenizers import Tokenizer
 
 from aisleframe.llm import toxicity
+from aisleframe.llm.tokens import Encoder, default_path
+
+
+def test_new_pieces_are_encoded_in_one_call(monkeypatch):
+    encoder = Encoder(default_path())
+    calls = []
+    inner = encoder.encode
+    monkeypatch.setattr(encoder, "encode", lambda text: calls.append(1) or inner(text))
+    other = Tokenizer.from_file(default_path())
+    texts = [" ".join(f"w{chr(97 + i % 26)}{i * 7919 % 1000}" for i in range(k, k + 500)) for k in range(0, 3000, 250)]
+    texts += ["a\0b \0\0 c", "\0", "", "x\0<|endoftext|>\0", "<|endoftext|>", "plain words again"]
+    for given in (texts[:9], texts[5:], texts[::-1], ["\0", "<|endoftext|>"]):
+        ids, at = encoder(given)
+        for i, t in enumerate(given):
+            assert ids[at[i]:at[i + 1]].tolist() == other.encode(t, add_special_tokens=False).ids
+    assert len(calls) <= 4
 
 
 def test_training_holds_a_piece_of_its_words(monkeypatch):
