@@ -11,8 +11,8 @@ other form a run, about 50 of them; equal strings have equal anchors at the same
    anchor that occurs once rules its run out. What is left - equal anchors in unequal bytes, the ends of
    copied passages - goes on.
 2. The bytes of those runs go to shards by anchor. In a shard they arrive in batches: a batch gets its
-   suffix array, is merge-scanned against the arrays there are, and arrays of equal size are merged, so
-   that there are never more than log2(batches) of them.
+   suffix array, and arrays of equal size are merged, so that there are never more than log2(batches) of
+   them. In the end they all are merged. Equal suffixes are found where arrays meet.
 3. Matches become byte ranges, and ranges unite into maximal removed runs of each document.
 """
 
@@ -38,7 +38,7 @@ from aisleframe.llm.spread import (
 from aisleframe.llm.windows import member
 
 PIECE = 2 << 20
-#: Suffixes in a new batch of the index family, and keys materialised at a time in a merge-scan.
+#: Suffixes in a new batch of the index family, and keys of each array that are held at a time in a merge.
 BATCH = 1 << 16
 CHUNK = 1 << 14
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -56,10 +56,20 @@ class Level:
 
 
 class Family:
-    """Suffix arrays of doubling size; seen[i] tells whether suffix number i has an equal one."""
+    """Suffix arrays of doubling size; seen[i] tells whether suffix number i has an equal one.
+
+    Equal suffixes meet when their arrays are merged, at the latest when seen is read. A suffix takes part in
+    about as many merges as there are arrays, however many batches came before or after its own.
+    """
 
     def __init__(self, length: int, total: int):
-        self.length, self.seen, self.levels = length, np.zeros(total, bool), []
+        self.length, self._seen, self.levels = length, np.zeros(total, bool), []
+
+    @property
+    def seen(self) -> np.ndarray:
+        while len(self.levels) > 1:
+            self._merge()
+        return self._seen
 
     def add(self, text: np.ndarray, positions: np.ndarray, first: int) -> None:
         """Index the suffixes of a batch at these positions, numbered from first on."""
@@ -68,38 +78,47 @@ class Family:
         order = np.argsort(keys, kind="stable")
         keys, where = keys[order], first + order
         same = keys[1:] == keys[:-1]
-        self.seen[where[1:][same]] = True
-        self.seen[where[:-1][same]] = True
+        self._seen[where[1:][same]] = True
+        self._seen[where[:-1][same]] = True
         fresh = np.concatenate([[True], ~same])
-        new = Level(text, positions[order][fresh], where[fresh], self.length)
-        for level in self.levels:
-            self._scan(level, new)
-        self.levels.append(new)
+        self.levels.append(Level(text, positions[order][fresh], where[fresh], self.length))
         while len(self.levels) > 1 and len(self.levels[-2].order) < 2 * len(self.levels[-1].order):
-            b, a = self.levels.pop(), self.levels.pop()
-            self.levels.append(self._merged(a, b))
+            self._merge()
 
-    def _places(self, level: Level, keys: np.ndarray):
-        """Chunk by chunk: where a level's suffixes fall among sorted keys, and which equal one."""
+    def _places(self, level: Level, other: Level):
+        """Chunk by chunk: where a level's suffixes fall among those of another, and which equal one."""
+        low = 0
+        held = other.keys(0, CHUNK)
         for start in range(0, len(level.order), CHUNK):
             own = level.keys(start, start + CHUNK)
-            at = np.searchsorted(keys, own)
-            yield start, at, keys[np.minimum(at, len(keys) - 1)] == own
-
-    def _scan(self, level: Level, new: Level) -> None:
-        for start, at, equal in self._places(level, new.keys()):
-            self.seen[level.where[start:start + len(at)][equal]] = True
-            self.seen[new.where[at[equal]]] = True
-
-    def _merged(self, a: Level, b: Level) -> Level:
-        parts = list(self._places(a, b.keys()))
-        at = np.concatenate([p[1] for p in parts])
-        fresh = ~np.concatenate([p[2] for p in parts])  # an equal entry stays once
-        slot = np.concatenate([at[fresh], np.arange(len(b.order))])
-        rank = np.lexsort((np.concatenate([np.zeros(int(fresh.sum()), np.int8), np.ones(len(b.order), np.int8)]), slot))
-        order = np.concatenate([a.order[fresh], b.order + len(a.text)])[rank]
-        where = np.concatenate([a.where[fresh], b.where])[rank]
-        return Level(np.concatenate([a.text, b.text]), order, where, self.length)
+            at = np.empty(len(own), np.int64)
+            equal = np.zeros(len(own), bool)
+            done = 0
+            while True:
+                # Those up to the last suffix held fall among them; the others are beyond.
+                stop = len(own)
+                if low + len(held) < len(other.order):
+                    stop = int(np.searchsorted(own, held[-1], "right"))
+                found = np.searchsorted(held, own[done:stop])
+                at[done:stop] = low + found
+                equal[done:stop] = held[np.minimum(found, len(held) - 1)] == own[done:stop]
+                done = stop
+                if done == len(own):
+                    break
+                low += len(held)
+                held = other.keys(low, low + CHUNK)
+            yield at, equal
+
+    def _merge(self) -> None:
+        """Merge the two smallest arrays; an equal entry stays once."""
+        b, a = self.levels.pop(), self.levels.pop()
+        at, equal = (np.concatenate(part) for part in zip(*self._places(b, a), strict=True))
+        self._seen[b.where[equal]] = True
+        self._seen[a.where[at[equal]]] = True
+        text = np.concatenate([a.text, b.text])
+        order = np.insert(a.order, at[~equal], b.order[~equal] + len(a.text))
+        where = np.insert(a.where, at[~equal], b.where[~equal])
+        self.levels.append(Level(text, order, where, self.length))
 
 
 class Runs:
@@ -136,7 +155,7 @@ class Runs:
         self.last = strings[np.concatenate([opens[1:], [len(strings)]]) - 1]
         self.anchor = anchor[opens]
         self.rows = np.searchsorted(at, self.first, "right") - 1
-        self.key = v[self.anchor]
+        self.key = mix(v[self.anchor])  # anchors are least hashes, so that their top bits are nearly all zero
         whole = (sums[self.last + length] - sums[self.first]) * down[self.first]
         shape = ((self.last - self.first) << 32) + (self.anchor - self.first)
         self.content = mix(whole ^ mix(shape.astype(np.uint64)))

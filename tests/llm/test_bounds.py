@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from aisleframe.llm import toxicity
+from aisleframe.llm import suffixes, toxicity
+from aisleframe.llm.arrays import utf8
 from aisleframe.llm.tokens import Encoder, default_path
 
 
@@ -27,6 +28,40 @@ def test_new_pieces_are_encoded_in_one_call(monkeypatch):
     assert len(calls) <= 4
 
 
+def test_runs_are_dealt_evenly():
+    draw = np.random.default_rng(5)
+    texts = pa.array(["".join(map(chr, draw.integers(97, 123, 4000))) for _ in range(50)])
+    top = suffixes.Runs(*utf8(texts), 200).key >> np.uint64(61)
+    assert np.bincount(top.astype(int), minlength=8).max() < 0.2 * len(top)
+
+
+def test_suffixes_are_read_a_few_times_each(monkeypatch):
+    """How often a suffix is read does not grow with the batches that come after its own."""
+    read = [0]
+    inner = suffixes.Level.keys
+
+    def keys(self, *span):
+        out = inner(self, *span)
+        read[0] += len(out)
+        return out
+
+    monkeypatch.setattr(suffixes.Level, "keys", keys)
+    monkeypatch.setattr(suffixes, "CHUNK", 64)
+    draw = np.random.default_rng(6)
+    batches, each = 256, 100
+    family = suffixes.Family(12, batches * each)
+    texts = [draw.integers(97, 100, each + 11).astype(np.uint8) for _ in range(batches)]
+    for i, text in enumerate(texts):
+        family.add(text, np.arange(each), i * each)
+    strings = [bytes(t[k:k + 12]) for t in texts for k in range(each)]
+    seen = family.seen
+    assert read[0] < 3 * batches * each * np.log2(batches)
+    count = {}
+    for s in strings:
+        count[s] = count.get(s, 0) + 1
+    assert seen.tolist() == [count[s] > 1 for s in strings] and 0 < seen.sum() < len(seen)
+
+
 def test_training_holds_a_piece_of_its_words(monkeypatch):
     """Beside the texts, training holds the vocabulary and the words of one piece, not those of all texts."""
     monkeypatch.setattr(toxicity, "LANDMARKS", 60)
