@@ -35,6 +35,29 @@ def unplanes(cell: bytes) -> np.ndarray:
     return np.cumsum(steps)
 
 
+def short_planes(values: np.ndarray) -> bytes:
+    """Numbers below 2**32, byte plane by byte plane."""
+    return values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unshort_planes(cell: bytes) -> np.ndarray:
+    return np.frombuffer(cell, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Rising numbers from 0 on: how many byte planes their differences need, and those planes."""
+    steps = np.diff(values.astype(np.int64), prepend=np.int64(0))
+    used = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([used]) + steps.view(np.uint8).reshape(-1, 8)[:, :used].T.tobytes()
+
+
+def unpacked(cell: bytes) -> np.ndarray:
+    used = cell[0]
+    steps = np.zeros(((len(cell) - 1) // used, 8), np.uint8)
+    steps[:, :used] = np.frombuffer(cell, np.uint8, offset=1).reshape(used, -1).T
+    return np.cumsum(steps.view(np.int64).ravel())
+
+
 def low7(hashes: np.ndarray) -> bytes:
     """Hashes without their top byte, which the part number implies."""
     return hashes.view(np.uint8).reshape(-1, 8)[:, :7].tobytes()

@@ -6,9 +6,10 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from aisleframe.llm import suffixes, toxicity
+from aisleframe.llm import jaccard, suffixes, toxicity
 from aisleframe.llm.arrays import utf8
 from aisleframe.llm.tokens import Encoder, default_path
 
@@ -75,3 +76,37 @@ def test_training_holds_a_piece_of_its_words(monkeypatch):
     tracemalloc.stop()
     assert weights[0] > 0 and np.abs(table).max() > 0
     assert peak < 6 * texts.nbytes
+
+
+def test_rounds_carry_packed_sets_and_open_shingles(spark, monkeypatch, tmp_path):
+    """Near duplicates: a set travels in under 4 bytes a shingle, and shingles that link no two groups leave at once."""
+    written = []
+    inner = jaccard.stage_table
+    monkeypatch.setattr(jaccard, "stage_table", lambda df, name: written.append((name, inner(df, name))) or written[-1][1])
+    draw = np.random.default_rng(9)
+    rows = []
+    for i in range(60):  # two texts each: 50 exact copies, 10 near ones
+        words = [f"w{x}" for x in draw.integers(0, 10**6, 200)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words if i < 50 else ["other", *words[1:]]))]
+    for side in (rows[::2], rows[1::2]):  # copies in two files, so that they meet in no block
+        spark.createDataFrame(side, "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/docs")
+    found = jaccard.similar_sets(spark.read.parquet(f"{tmp_path}/docs")).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in found)
+    sets = dict(written)["sets"].where("tokens is not null")
+    assert sets.select(F.max(F.octet_length("tokens") / F.col("shared"))).first()[0] < 4
+    first, *later = [df for name, df in written if name in ("postings", "open")]
+    assert first.select("g").distinct().count() >= 60
+    assert later and all(df.where("g < 100").isEmpty() for df in later)
+
+
+def test_members_of_one_group_are_compared(spark, monkeypatch, tmp_path):
+    """Sets with equal prefixes, of which the head is like no other, and no second group."""
+    monkeypatch.setattr(jaccard, "SHINGLE", 1)
+    p, x, y = ([f"{k}{i}" for i in range(n)] for k, n in (("p", 30), ("x", 80), ("y", 80)))
+    rows = [(1, p + x), (2, p + y), (3, p + y[1:] + x[:1])]
+    rows += [(10 + i, w + [f"u{i}.{k}" for k in range(200)]) for i, w in enumerate([x] * 4 + [y] * 4)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    found = jaccard.similar_sets(spark.read.parquet(f"{tmp_path}/docs")).collect()
+    got = {r.doc_id: r.component_id for r in found}
+    assert got == {i: 2 if i == 3 else i for i, _ in rows}
