@@ -10,7 +10,9 @@ from pyspark.sql import DataFrameWriter
 from aisleframe.operators import collapse, joins
 from catalog.queries import QUERIES
 
-YEARLY = ["product_panel", "did_by_bin"]
+YEARLY = [
+    "product_panel", "did_by_bin", "did_by_group_extras",
+]
 
 
 def _plan(df) -> list[str]:
