@@ -11,7 +11,7 @@ from aisleframe.operators import collapse, joins
 from catalog.queries import QUERIES
 
 YEARLY = [
-    "product_panel", "did_by_bin", "did_by_group_extras",
+    "product_panel", "did_by_bin", "did_by_group_extras", "extras_collapse",
 ]
 
 
