@@ -11,7 +11,7 @@ from aisleframe.operators import collapse, joins
 from catalog.queries import QUERIES
 
 YEARLY = [
-    "product_panel", "did_by_bin", "did_by_group_extras", "extras_collapse",
+    "product_panel", "did_by_bin", "did_by_group_extras", "extras_collapse", "uniform_price",
 ]
 
 
@@ -48,7 +48,8 @@ def test_a_folded_table_has_a_row_for_each_change(spark, rows):
         "upc int, year int, ver int",
     )
     folded = joins.fold_periods(y, ["upc", "year"], ["ver"], "year")
-    assert rows(folded, "upc", "ver", "_block") == [(1, 1, 31), (1, 2, 31), (2, 3, None)]
+    bits = [sum(1 << year % 32 for year in span if year != 1999) for span in (range(1996, 2003), range(2003, 2007))]
+    assert rows(folded, "upc", "ver", "_held") == [(1, 1, (62 << 32) + bits[0]), (1, 2, (62 << 32) + bits[1]), (2, 3, None)]
 
 
 def test_folded_join_is_the_join_by_year(spark, rows):
