@@ -13,7 +13,7 @@ from catalog.queries import QUERIES
 YEARLY = [
     "product_panel", "did_by_bin", "did_by_group_extras", "extras_collapse", "uniform_price",
     "frequent_groups", "hhi_bin_panel", "hhi_bins", "price_concentration", "store_group_collapse",
-    "hhi_bin_panel_reports", "hhi_bins_extras",
+    "hhi_bin_panel_reports", "hhi_bins_extras", "exposure_panel_extras",
 ]
 
 
